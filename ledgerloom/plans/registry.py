@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import reference_queries
+from . import hierarchy_queries, reference_queries
 
-MODULES = [reference_queries]
+MODULES = [reference_queries, hierarchy_queries]
 
 
 def queries() -> dict:
