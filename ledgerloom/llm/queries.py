@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import groups, pairs
+from . import groups, neardup, pairs
 
 _BLANKS = r"^\s+|\s+$"
 
@@ -52,6 +54,21 @@ def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.group_sizes(_matches(spark, sf_dir))
 
 
+def _papers(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
+    """Papers with an abstract of at least 20 words, by the distinct words of title and abstract; a re-delivery repeats its uid with other texts, so the uid's rows are told apart."""
+    rows = table(spark, sf_dir, "papers").select("uid", neardup.words(F.col("title")).alias("t"), neardup.words(F.col("abstract")).alias("a"))
+    long = rows.filter(F.col("uid").isNotNull() & (F.size("a") >= 20))
+    return neardup.NearDuplicates(long.select("uid", F.concat("t", "a").alias("tokens")), Fraction(3, 4))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _papers(spark, sf_dir).all_pairs().filter("uid_a <> uid_b").distinct()
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _papers(spark, sf_dir).groups()
+
+
 _ITEMS = r"""papers AS (SELECT id, concepts, categories FROM paper_graph_overlay WHERE kind = 'paper' AND id IS NOT NULL),
 held AS (SELECT DISTINCT id, lower(regexp_replace(regexp_replace(i, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS item
   FROM (SELECT id, unnest(coalesce(concepts, []) || coalesce(categories, [])) AS i FROM papers) WHERE trim(i) <> ''),
@@ -70,7 +87,7 @@ lab(u, g) USING KEY (u) AS (
   SELECT s.a, min(l.g) FROM sym s JOIN lab l ON l.u = s.b JOIN recurring.lab o ON o.u = s.a GROUP BY s.a, o.g HAVING min(l.g) < o.g
 )"""
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_sizes": p2_sizes}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_sizes": p2_sizes, "p5_found": p5_found, "p5_groups": p5_groups}
 ORACLE = {
     "p1_found": f"WITH {_ITEMS} SELECT item_a, item_b FROM scored WHERE 1000 * n_ab >= n_baskets AND n_ab * n_baskets >= 3 * n_a * n_b",
     "p1_scores": f"WITH {_ITEMS} SELECT *, n_ab * n_baskets / (CAST(n_a AS DOUBLE) * n_b) AS lift, ln(n_ab * n_baskets / (CAST(n_a AS DOUBLE) * n_b)) AS pmi FROM scored",
