@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import groups, neardup, pairs
+from . import groups, leaks, neardup, pairs
 
 _BLANKS = r"^\s+|\s+$"
 
@@ -69,6 +69,26 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _papers(spark, sf_dir).groups()
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir)
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(_leaks(spark, sf_dir))
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.without_leaks(table(spark, sf_dir, "documents").select("doc_id", "source"), _leaks(spark, sf_dir))
+
+
 _ITEMS = r"""papers AS (SELECT id, concepts, categories FROM paper_graph_overlay WHERE kind = 'paper' AND id IS NOT NULL),
 held AS (SELECT DISTINCT id, lower(regexp_replace(regexp_replace(i, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS item
   FROM (SELECT id, unnest(coalesce(concepts, []) || coalesce(categories, [])) AS i FROM papers) WHERE trim(i) <> ''),
@@ -87,8 +107,15 @@ lab(u, g) USING KEY (u) AS (
   SELECT s.a, min(l.g) FROM sym s JOIN lab l ON l.u = s.b JOIN recurring.lab o ON o.u = s.a GROUP BY s.a, o.g HAVING min(l.g) < o.g
 )"""
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_sizes": p2_sizes, "p5_found": p5_found, "p5_groups": p5_groups}
+_RUNS = r"""WITH w AS (SELECT 'd' AS k, doc_id AS id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS l FROM documents
+  UNION ALL SELECT 'i', item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) FROM eval_items),
+g AS (SELECT DISTINCT k, id, array_to_string(l[i:i + 11], ' ') AS s FROM (SELECT k, id, l, unnest(range(1, len(l) - 10)) AS i FROM w WHERE len(l) >= 12)),
+hit AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.s = i.s AND d.k = 'd' AND i.k = 'i')"""
+
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_sizes": p2_sizes, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_runs": p6_runs, "p6_items": p6_items, "p6_clean": p6_clean}
 ORACLE = {
+    "p6_found": f"{_RUNS} SELECT doc_id, item_id FROM hit",
+    "p6_clean": f"{_RUNS} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)",
     "p1_found": f"WITH {_ITEMS} SELECT item_a, item_b FROM scored WHERE 1000 * n_ab >= n_baskets AND n_ab * n_baskets >= 3 * n_a * n_b",
     "p1_scores": f"WITH {_ITEMS} SELECT *, n_ab * n_baskets / (CAST(n_a AS DOUBLE) * n_b) AS lift, ln(n_ab * n_baskets / (CAST(n_a AS DOUBLE) * n_b)) AS pmi FROM scored",
     "p2_found": f"WITH RECURSIVE {_GROUPS} SELECT u AS uid, g AS group_id FROM lab",
