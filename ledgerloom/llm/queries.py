@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import groups, leaks, mixing, neardup, pairs
+from . import groups, leaks, mixing, neardup, pairs, pii
 
 _BLANKS = r"^\s+|\s+$"
 
@@ -101,6 +101,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).shares()
 
 
+def _field(spark: SparkSession, sf_dir: str) -> pii.Field:
+    return pii.fit_on(table(spark, sf_dir, "documents"), *pii.known_names(table(spark, sf_dir, "papers")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"), _field(spark, sf_dir))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(table(spark, sf_dir, "documents"), _field(spark, sf_dir))
+
+
 _ITEMS = r"""papers AS (SELECT id, concepts, categories FROM paper_graph_overlay WHERE kind = 'paper' AND id IS NOT NULL),
 held AS (SELECT DISTINCT id, lower(regexp_replace(regexp_replace(i, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS item
   FROM (SELECT id, unnest(coalesce(concepts, []) || coalesce(categories, [])) AS i FROM papers) WHERE trim(i) <> ''),
@@ -124,7 +136,7 @@ _RUNS = r"""WITH w AS (SELECT 'd' AS k, doc_id AS id, list_transform(regexp_extr
 g AS (SELECT DISTINCT k, id, array_to_string(l[i:i + 11], ' ') AS s FROM (SELECT k, id, l, unnest(range(1, len(l) - 10)) AS i FROM w WHERE len(l) >= 12)),
 hit AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.s = i.s AND d.k = 'd' AND i.k = 'i')"""
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_sizes": p2_sizes, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_runs": p6_runs, "p6_items": p6_items, "p6_clean": p6_clean, "p7_mixed": p7_mixed, "p7_shares": p7_shares}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_sizes": p2_sizes, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_runs": p6_runs, "p6_items": p6_items, "p6_clean": p6_clean, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
 ORACLE = {
     "p6_found": f"{_RUNS} SELECT doc_id, item_id FROM hit",
     "p6_clean": f"{_RUNS} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)",
