@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+from copy import deepcopy
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,19 +62,19 @@ class PairTable:
     def _read(self, kind: str, only: list[int] | None = None) -> DataFrame:
         """The current rows, or those of some buckets: each version is read for the buckets in which it holds."""
         schema = self.KINDS[kind]
-        by_version: dict[int, list[int]] = {}
+        by_version: dict[str, list[int]] = {}
         for bucket, version in self.manifest[kind].items():
             if only is None or int(bucket) in only:
                 by_version.setdefault(version, []).append(int(bucket))
         out = self.spark.createDataFrame([], schema)
         for version, buckets in sorted(by_version.items()):
-            part = self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/v{version}")
+            part = self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/{version}")
             out = out.unionByName(part.filter(F.col("bucket").isin(buckets)))
         return out
 
-    def _write(self, kind: str, rows: DataFrame, touched: list[int], version: int) -> None:
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{kind}/v{version}")
-        self.manifest[kind].update({str(b): version for b in touched})
+    def _write(self, kind: str, rows: DataFrame, touched: list[int], version: str) -> None:
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{kind}/{version}")
+        self._next[kind].update({str(b): version for b in touched})
 
     def _bucket(self, *columns: str) -> Column:
         return F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("int").alias("bucket")
@@ -92,18 +94,20 @@ class PairTable:
 
         Null baskets are ignored. items must be sorted and distinct, as clean_items gives them.
         """
-        version = self.manifest["version"] + 1
+        # a folder name of its own for each try: what a failed one left behind is never read
+        version = f"v{self.manifest['version'] + 1}-{uuid.uuid4().hex[:8]}"
+        self._next = deepcopy(self.manifest)
         new = changes.filter(F.col("basket").isNotNull()).select("basket", "items", self._bucket("basket"))
-        new.write.parquet(f"{self.path}/changes/v{version}")
-        new = self.spark.read.schema("basket string, items array<string>, bucket int").parquet(f"{self.path}/changes/v{version}")
+        new.write.parquet(f"{self.path}/changes/{version}")
+        new = self.spark.read.schema("basket string, items array<string>, bucket int").parquet(f"{self.path}/changes/{version}")
         touched = [r[0] for r in new.select("bucket").distinct().collect()]
         if not touched:
             return
         old = self._read("baskets", touched)
         news = new.select("basket", F.col("items").alias("now"), F.lit(True).alias("changed"), "bucket")
         both = old.select("basket", F.col("items").alias("was"), F.lit(True).alias("known"), "bucket").join(news, ["basket", "bucket"], "full_outer") if self.manifest["baskets"] else news.select("basket", "bucket", F.lit(None).cast("array<string>").alias("was"), F.lit(None).cast("boolean").alias("known"), "now", "changed")
-        both.write.parquet(f"{self.path}/both/v{version}")
-        both = self.spark.read.parquet(f"{self.path}/both/v{version}")
+        both.write.parquet(f"{self.path}/both/{version}")
+        both = self.spark.read.parquet(f"{self.path}/both/{version}")
         kept = F.when(F.col("changed"), F.col("now")).otherwise(F.col("was"))
         self._write("baskets", both.select("basket", kept.alias("items"), "bucket").filter(F.col("items").isNotNull()), touched, version)
         moved = both.filter(F.col("changed") & ~F.col("was").eqNullSafe(F.col("now")))
@@ -113,14 +117,15 @@ class PairTable:
         pairs = self._pairs(signed).groupBy("item_a", "item_b").agg(F.sum("w").alias("d")).filter("d <> 0").select("item_a", "item_b", "d", self._bucket("item_a", "item_b"))
         self._merge("items", ["item"], "n", marginals, version)
         self._merge("pairs", ["item_a", "item_b"], "n_ab", pairs, version)
-        self.changed_items = self.spark.read.parquet(f"{self.path}/delta-items/v{version}").select("item")
-        self.manifest["baskets_total"] += int(grown)
-        self.manifest["version"] = version
+        self.changed_items = self.spark.read.parquet(f"{self.path}/delta-items/{version}").select("item")
+        self._next["baskets_total"] += int(grown)
+        self._next["version"] += 1
+        self.manifest = self._next
         self._save()
 
-    def _merge(self, kind: str, key: list[str], count: str, delta: DataFrame, version: int) -> None:
+    def _merge(self, kind: str, key: list[str], count: str, delta: DataFrame, version: str) -> None:
         """Adds the deltas to the buckets that have one."""
-        where = f"{self.path}/delta-{kind}/v{version}"
+        where = f"{self.path}/delta-{kind}/{version}"
         delta.write.parquet(where)
         delta = self.spark.read.schema(delta.schema).parquet(where)
         touched = [r[0] for r in delta.select("bucket").distinct().collect()]
@@ -162,6 +167,4 @@ class PairTable:
 
 
 def new_folder(spark: SparkSession) -> str:
-    import uuid
-
     return f"{shared_root(spark)}/pair-table-{uuid.uuid4().hex}"
