@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hierarchy_queries, reference_queries
+from . import hierarchy_queries, reference_queries, text_queries
 
-MODULES = [reference_queries, hierarchy_queries]
+MODULES = [reference_queries, hierarchy_queries, text_queries]
 
 
 def queries() -> dict:
