@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hierarchy_queries, reference_queries, text_queries
+from . import graph_queries, hierarchy_queries, reference_queries, text_queries
 
-MODULES = [reference_queries, hierarchy_queries, text_queries]
+MODULES = [reference_queries, hierarchy_queries, text_queries, graph_queries]
 
 
 def queries() -> dict:
