@@ -1,0 +1,65 @@
+"""Numeric, directional and provenance statements from text."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+NUMBER = r"[-+]?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
+#: Units that a value may carry.
+UNITS = ["percent", "kPa", "MPa", "GPa", "Pa", "mV", "kV", "V", "mA", "A", "mW", "kW", "W", "nm", "um", "mm", "cm", "m", "Hz", "kHz", "ms", "s", "h", "K", "N", "J", "mol", "rpm", "bar", "ppm"]
+#: Words of direction, and of denial.
+UP = ["raises", "raised", "increases", "increased", "rose", "drives", "lifts", "grows"]
+DOWN = ["lowers", "lowered", "decreases", "decreased", "fell", "drops", "reduces", "removes"]
+DENIAL = ["no", "not", "never", "without", "neither", "nor"]
+_VALUE = re.compile(rf"(?P<value>{NUMBER})(?:\s*(?:\+/-|±|with a standard error of)\s*(?P<sigma>{NUMBER}))?(?:\s*(?P<unit>{'|'.join(sorted(UNITS, key=len, reverse=True))})\b)?")
+_PROVENANCE = [("copy", re.compile(r"\b(?:copy|copies|replicas?) of (?:the )?([\w:./ -]{3,40}?)(?=[.,;]|$| were| was| is)", re.I)), ("derived", re.compile(r"\b(?:derived from|extends earlier work on|based on) (?:the )?([\w:./ -]{3,40}?)(?=[.,;]|$| to )", re.I)), ("cites", re.compile(r"\b((?:doi|arxiv):[\w./-]+\w)", re.I)), ("shared", re.compile(r"\bshares? (?:an? |the )?(?:same )?(?:origin|calibration|source) with ([\w:./ -]{3,40}?)(?=[.,;]|$)", re.I))]
+
+
+def numeric_values(text: str) -> list[tuple[float, float | None, str | None, int, int]]:
+    out = []
+    for m in _VALUE.finditer(text):
+        before = text[m.start() - 1] if m.start() else " "
+        after = text[m.end()] if m.end() < len(text) else " "
+        if before.isalnum() or before in "._/@-" or (m["unit"] is None and m["sigma"] is None) or after.isalnum():
+            continue
+        out.append((float(m["value"]), float(m["sigma"]) if m["sigma"] else None, m["unit"], m.start(), m.end()))
+    return out
+
+
+def numeric_claims(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, value, sigma, unit, start, end): values with a unit or an error in the text, by their places. Null text has none."""
+
+    @F.pandas_udf("array<struct<value:double,sigma:double,unit:string,start:int,end:int>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip(("value", "sigma", "unit", "start", "end"), v, strict=True)) for v in numeric_values(t)] if t else [])
+
+    return rows.select(F.col(id_col), F.inline(found(text_col)))
+
+
+def asserted_sign(text: Column, x: str, y: str) -> Column:
+    """+1, -1 or 0 (abstain): the sign a sentence asserts between x and y: both named in it in this order with a word of direction between, turned by a denial before that word; sentences that disagree abstain."""
+
+    def of(sentence: Column) -> Column:
+        between = F.regexp_extract(F.lower(sentence), rf"{re.escape(x.lower())}(.*?){re.escape(y.lower())}", 1)
+        words = F.split(between, r"[^a-z]+")
+        up, down = F.exists(words, lambda w: w.isin(UP)), F.exists(words, lambda w: w.isin(DOWN))
+        turned = F.exists(words, lambda w: w.isin(DENIAL))
+        sign = F.when(up & ~down, 1).when(down & ~up, -1).otherwise(0)
+        return F.when(between == "", 0).when(turned, -sign).otherwise(sign)
+
+    signs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[.;\n]+\s*"), of), lambda s: s != 0)
+    return F.when((F.size(signs) > 0) & (F.array_min(signs) == F.array_max(signs)), F.get(signs, 0)).otherwise(F.lit(0))
+
+
+def provenance(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, kind, target): statements that the text copies, derives from, shares with or cites a named source; each once."""
+
+    @F.pandas_udf("array<struct<kind:string,target:string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"kind": k, "target": m.group(1).strip().lower()} for k, p in _PROVENANCE for m in p.finditer(t)] if t else [])
+
+    return rows.select(F.col(id_col), F.inline(found(text_col))).distinct()
