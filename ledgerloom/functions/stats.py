@@ -19,12 +19,12 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 def wilson_lower(k: Column, n: Column, z: float = Z95) -> Column:
     """Lower end of the Wilson interval of k of n; null for n = 0."""
-    m, p = n.cast("double"), F.try_divide(k.cast("double"), n.cast("double"))
+    m, p = F.nullif(n.cast("double"), F.lit(0.0)), F.try_divide(k.cast("double"), n.cast("double"))
     return (p + z * z / (2 * m) - z * F.sqrt(F.greatest((p * (1 - p) + z * z / (4 * m)) / m, F.lit(0.0)))) / (1 + z * z / m)
 
 
 def wilson_upper(k: Column, n: Column, z: float = Z95) -> Column:
-    m, p = n.cast("double"), F.try_divide(k.cast("double"), n.cast("double"))
+    m, p = F.nullif(n.cast("double"), F.lit(0.0)), F.try_divide(k.cast("double"), n.cast("double"))
     return (p + z * z / (2 * m) + z * F.sqrt(F.greatest((p * (1 - p) + z * z / (4 * m)) / m, F.lit(0.0)))) / (1 + z * z / m)
 
 

@@ -95,6 +95,6 @@ def index_nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col:
     asked = keyed.join(queries.select(F.col(id_col).alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("vec").alias("q"), "t", F.explode(F.concat(F.array("key"), F.array(*[F.col("key").bitwiseXOR(F.lit(1 << b).cast("bigint")) for b in range(bits)]))).alias("key"))
     met = asked.join(keyed, ["t", "key"]).filter("query_id <> id").groupBy("query_id", "id").agg(F.first("q").alias("q"), F.first("vec").alias("vec"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    score = dot(F.col("q"), F.col("vec")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("vec"), F.col("vec")))
+    score = F.try_divide(dot(F.col("q"), F.col("vec")), F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("vec"), F.col("vec"))))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return met.select("query_id", "id", score.alias("score")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    return met.select("query_id", "id", score.alias("score")).filter("score IS NOT NULL AND NOT isnan(score)").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
