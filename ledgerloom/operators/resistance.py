@@ -13,7 +13,9 @@ from ..scratch import Scratch
 from .components import connected_components
 
 #: Links of a component that is solved by a dense pseudo-inverse in one task, and nodes at most.
-DENSE_LINKS, DENSE_NODES = 20_000, 1_500
+DENSE_LINKS, DENSE_NODES = 20_000, 600
+#: Links of a component that is sketched in one task; beyond, by joins.
+TASK_LINKS = 100_000
 
 
 def weighted_links(edges: DataFrame) -> DataFrame:
@@ -35,15 +37,52 @@ def _dense(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "hole": np.diag(np.linalg.pinv(lap, hermitian=True))})
 
 
+def _hash_signs(h: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """A sign per link (by its hash) and projection."""
+    x = h.astype(np.int64).view(np.uint64)[:, None] ^ (np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))[None]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.where((x >> np.uint64(63)) > 0, 1.0, -1.0)
+
+
+def _sketch(pdf: pd.DataFrame, k: int, seed: int, tolerance: float) -> pd.DataFrame:
+    """One component's hole field by k projections and conjugate gradients, all columns at once."""
+    ids, ends = np.unique(np.concatenate((pdf["u"].to_numpy(object), pdf["v"].to_numpy(object))), return_inverse=True)
+    u, v, w = ends[: len(pdf)], ends[len(pdf) :], pdf["w"].to_numpy()
+    q = _hash_signs(pdf["h"].to_numpy(), k, seed) * np.sqrt(w)[:, None] / np.sqrt(k)
+    src, dst, ww = np.concatenate((u, v)), np.concatenate((v, u)), np.concatenate((w, w))
+    order = np.argsort(src, kind="stable")
+    src, dst, ww = src[order], dst[order], ww[order]
+    starts = np.flatnonzero(np.append(True, src[1:] != src[:-1]))
+    d = np.add.reduceat(ww, starts)[:, None]
+    both = np.concatenate((q, -q))[order]
+    r = np.add.reduceat(both, starts, axis=0)
+    x = np.zeros_like(r)
+    z = r / d
+    p, rz = z.copy(), (r * z).sum(0)
+    first = rz.copy()
+    for _ in range(10 * len(ids)):
+        if (rz <= tolerance**2 * np.maximum(first, 1e-300)).all():
+            break
+        ap = d * p - np.add.reduceat(ww[:, None] * p[dst], starts, axis=0)
+        pap = (p * ap).sum(0)
+        a = np.where(pap > 0, rz / np.where(pap > 0, pap, 1), 0)
+        x += a * p
+        r -= a * ap
+        z = r / d
+        new = (r * z).sum(0)
+        p = z + np.where(rz > 0, new / np.where(rz > 0, rz, 1), 0) * p
+        rz = new
+    x -= x.mean(0)
+    return pd.DataFrame({"id": ids, "hole": (x * x).sum(1)})
+
+
 def _signs(k: int, seed: int):
     """Rows (u, v, w) to the right-hand sides B' W^(1/2) Q of k random +-1 projections, a sign per link from a hash of its ends."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            h = b["h"].to_numpy().astype(np.int64).view(np.uint64)[:, None] ^ (np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))[None]
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            q = np.where((h >> np.uint64(63)) > 0, 1.0, -1.0) * np.sqrt(b["w"].to_numpy())[:, None] / np.sqrt(k)
+            q = _hash_signs(b["h"].to_numpy(), k, seed) * np.sqrt(b["w"].to_numpy())[:, None] / np.sqrt(k)
             yield pd.DataFrame({"id": np.concatenate((b["u"], b["v"])), "y": list(np.concatenate((q, -q)))})
 
     return run
@@ -53,28 +92,30 @@ def _sum_arrays(column: str, k: int) -> F.Column:
     return F.array(*[F.sum(F.get(column, i)) for i in range(k)])
 
 
-def hole_field(edges: DataFrame, k: int = 16, seed: int = 0, rounds: int = 60, tolerance: float = 1e-6, dense_links: int = DENSE_LINKS, dense_nodes: int = DENSE_NODES) -> DataFrame:
+def hole_field(edges: DataFrame, k: int = 32, seed: int = 0, rounds: int = 200, tolerance: float = 1e-5, dense_links: int = DENSE_LINKS, dense_nodes: int = DENSE_NODES, task_links: int = TASK_LINKS) -> DataFrame:
     """(id, component, hole): the diagonal of the Laplacian pseudo-inverse of each component; high where a node hangs loosely.
 
     Components of up to dense_links links and dense_nodes nodes are solved exactly, one per task. Larger ones are sketched: k random projections of the links and k Laplacian solves by conjugate gradients with
-    Jacobi scaling, where every product is a join with the links and a grouped sum, cut each round; the estimate is ||z||^2, off by about sqrt(2/k). Nodes without a link do not appear.
+    Jacobi scaling; the estimate is ||z||^2, off by about sqrt(2/k). Up to task_links links that is done inside one task; beyond, every product is a join with the links and a grouped sum, cut each
+    round. The signs come from a hash of the link, so both ways give the same sketch. Nodes without a link do not appear.
     """
     scratch = Scratch(edges.sparkSession, "resistance")
     links = scratch.cut(weighted_links(edges))
     parts = connected_components(links, "u", "v").select(F.col("id").alias("u"), "component")
     tied = scratch.cut(links.join(parts, "u"))
-    size = scratch.cut(tied.groupBy("component").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("u").alias("nu"), F.countDistinct("v").alias("nv")))
-    small = size.filter((F.col("links") <= dense_links) & (F.col("nu") + F.col("nv") <= dense_nodes)).select("component")
+    small = scratch.cut(tied.groupBy("component").agg(F.count(F.lit(1)).alias("links")).filter(F.col("links") <= task_links).select("component"))
     kind = dict(links.dtypes)["u"]
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _dense(pdf).assign(component=key[0])[["id", "component", "hole"]]
+        few = len(pdf) <= dense_links and len(np.unique(np.concatenate((pdf["u"], pdf["v"])))) <= dense_nodes
+        return (_dense(pdf) if few else _sketch(pdf, k, seed, tolerance)).assign(component=key[0])[["id", "component", "hole"]]
 
-    out = tied.join(small, "component", "left_semi").select("component", "u", "v", "w").groupBy("component").applyInPandas(solve, f"id {kind}, component {kind}, hole double")
+    tied = tied.withColumn("h", F.xxhash64("u", "v"))
+    out = tied.join(small, "component", "left_semi").select("component", "u", "v", "w", "h").groupBy("component").applyInPandas(solve, f"id {kind}, component {kind}, hole double")
     large = tied.join(small, "component", "left_anti")
     if large.isEmpty():
         return out
-    large = scratch.cut(large.withColumn("h", F.xxhash64("u", "v")))
+    large = scratch.cut(large)
     both = scratch.cut(large.select("u", "v", "w").union(large.select("v", "u", "w")))
     degree = scratch.cut(both.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("d")))
     comp = large.select(F.col("u").alias("id"), "component").union(large.select("v", "component")).distinct()
