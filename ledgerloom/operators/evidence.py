@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import clip, entropy_bits, normal_cdf, sigmoid
@@ -63,8 +63,8 @@ def reliability_of_roots(votes: DataFrame, rounds: int = 20, prior: tuple[float,
     from ..scratch import Scratch
 
     scratch = Scratch(votes.sparkSession, "reliability")
-    n = Window.partitionBy("subject", "object")
-    v = scratch.cut(votes.withColumn("n", F.count(F.lit(1)).over(n)).filter(F.col("n") >= smallest).drop("n"))
+    enough = votes.groupBy("subject", "object").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= smallest)
+    v = scratch.cut(votes.join(enough.select("subject", "object"), ["subject", "object"], "left_semi"))
     rel = scratch.cut(v.select("root").distinct().withColumn("r", F.lit(prior[0] / (prior[0] + prior[1]))))
     for _ in range(rounds):
         w = F.log(clip(F.col("r"), 0.01, 0.99) / (1 - clip(F.col("r"), 0.01, 0.99)))
@@ -76,17 +76,19 @@ def reliability_of_roots(votes: DataFrame, rounds: int = 20, prior: tuple[float,
     return rel.select("root", F.col("r").alias("reliability"))
 
 
-def stress_points(claims: DataFrame) -> DataFrame:
+def stress_points(claims: DataFrame, slices: int = 8) -> DataFrame:
     """Opposite claims on one pair of the same instance and regime: kind CONTRADICTION where their boxes meet, BOUNDARY where not, with the point between.
 
-    Positive claims meet negative ones of their pair only. A pair that holds a large part of all claims is spread by a salt: each positive claim takes one of the slices, the negative ones go to all slices.
+    Claims of a pair with equal sign, box, instance and regime are one class, named by its smallest claim and counted (n_plus, n_minus), so copies make no pairs; the classes of opposite sign meet. A pair that holds a large
+    part of all claims is spread by a salt: each positive class takes one of the slices, the negative ones go to all slices.
     """
-    slices = 8
-    plus = claims.filter("sign > 0").select("subject", "object", F.concat_ws(":", "graph_id", "id").alias("plus"), F.col("box").alias("x"), F.col("instance").alias("ix"), F.col("regime").alias("rx")).withColumn("s", F.pmod(F.xxhash64("plus"), F.lit(slices)).cast("int"))
-    minus = claims.filter("sign < 0").select("subject", "object", F.concat_ws(":", "graph_id", "id").alias("minus"), F.col("box").alias("y"), F.col("instance").alias("iy"), F.col("regime").alias("ry")).withColumn("s", F.explode(F.array(*[F.lit(i) for i in range(slices)])))
+    kept = claims.withColumn("_c", F.concat_ws(":", "graph_id", "id")).withColumn("_b", F.to_json(F.array_sort(F.map_entries("box")))).withColumn("_r", F.to_json(F.array_sort(F.map_entries("regime"))))
+    classes = kept.groupBy("subject", "object", "sign", "_b", "instance", "_r").agg(F.min("_c").alias("c"), F.countDistinct("_c").alias("n"), F.any_value("box").alias("box"), F.any_value("regime").alias("regime"))
+    plus = classes.filter("sign > 0").select("subject", "object", F.col("c").alias("plus"), F.col("n").alias("n_plus"), F.col("box").alias("x"), F.col("instance").alias("ix"), F.col("regime").alias("rx")).withColumn("s", F.pmod(F.xxhash64("plus"), F.lit(slices)).cast("int"))
+    minus = classes.filter("sign < 0").select("subject", "object", F.col("c").alias("minus"), F.col("n").alias("n_minus"), F.col("box").alias("y"), F.col("instance").alias("iy"), F.col("regime").alias("ry")).withColumn("s", F.explode(F.array(*[F.lit(i) for i in range(slices)])))
     met = plus.join(minus, ["subject", "object", "s"]).filter((F.col("ix").isNull() | F.col("iy").isNull() | (F.col("ix") == F.col("iy"))) & boxes.agree(F.col("rx"), F.col("ry")))
     together = boxes.meet(F.col("x"), F.col("y"))
-    return met.select("subject", "object", "plus", "minus", F.when(together, "CONTRADICTION").otherwise("BOUNDARY").alias("kind"), F.when(~together, boxes.gap_point(F.col("x"), F.col("y"))).alias("point"))
+    return met.select("subject", "object", "plus", "minus", "n_plus", "n_minus", F.when(together, "CONTRADICTION").otherwise("BOUNDARY").alias("kind"), F.when(~together, boxes.gap_point(F.col("x"), F.col("y"))).alias("point"))
 
 
 def inferred_links(beliefs: DataFrame, transitivity: float = 0.9, least: float = 0.5) -> DataFrame:

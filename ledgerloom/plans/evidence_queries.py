@@ -46,7 +46,7 @@ def source_reliability(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stress_points(spark: SparkSession, sf: str) -> DataFrame:
-    return E.stress_points(_claims(spark, sf)).select("subject", "object", "plus", "minus", "kind")
+    return E.stress_points(_claims(spark, sf)).select("subject", "object", "plus", "minus", "n_plus", "n_minus", "kind")
 
 
 def inferred_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,8 +118,9 @@ ORACLE = {
     "root_votes": f"WITH RECURSIVE {_C}, {_R}, {_V} SELECT * FROM votes",
     "belief_pairs": f"WITH RECURSIVE {_C}, {_R}, {_V} SELECT subject, object, n_votes, round(p_plus, 6) AS p_plus FROM bel",
     "belief_at_point": f"WITH RECURSIVE {_C}, {_R.replace('FROM (SELECT *, unnest(sources) AS s FROM cl)', f'FROM (SELECT *, unnest(sources) AS s FROM cl WHERE {_POINT})')}, {_V} SELECT subject, object, n_votes, round(p_plus, 6) AS p_plus FROM bel",
-    "stress_points": f"""WITH {_C}, p AS (SELECT subject, object, graph_id || ':' || id AS plus, box AS x, instance AS ix, regime AS rx FROM cl WHERE sign > 0), m AS (SELECT subject, object, graph_id || ':' || id AS minus, box AS y, instance AS iy, regime AS ry FROM cl WHERE sign < 0)
-SELECT subject, object, plus, minus, CASE WHEN len(list_filter(list_intersect(map_keys(x), map_keys(y)), lambda k: x[k] IS NOT NULL AND y[k] IS NOT NULL AND greatest({_LO.format('x[k]')}, {_LO.format('y[k]')}) > least({_HI.format('x[k]')}, {_HI.format('y[k]')}))) = 0 THEN 'CONTRADICTION' ELSE 'BOUNDARY' END AS kind
+    "stress_points": f"""WITH {_C}, k AS (SELECT subject, object, sign, list_sort(list_transform(list_filter(map_entries(box), lambda e: e.value IS NOT NULL), lambda e: {{'k': e.key, 'lo': {_LO.format('e.value')}, 'hi': {_HI.format('e.value')}}})) AS b, instance, list_sort(map_entries(regime)) AS r, min(graph_id || ':' || id) AS c, count(DISTINCT graph_id || ':' || id) AS n, any_value(box) AS box, any_value(regime) AS regime FROM cl GROUP BY 1, 2, 3, 4, 5, 6),
+p AS (SELECT subject, object, c AS plus, n AS n_plus, box AS x, instance AS ix, regime AS rx FROM k WHERE sign > 0), m AS (SELECT subject, object, c AS minus, n AS n_minus, box AS y, instance AS iy, regime AS ry FROM k WHERE sign < 0)
+SELECT subject, object, plus, minus, n_plus, n_minus, CASE WHEN len(list_filter(list_intersect(map_keys(x), map_keys(y)), lambda k: x[k] IS NOT NULL AND y[k] IS NOT NULL AND greatest({_LO.format('x[k]')}, {_LO.format('y[k]')}) > least({_HI.format('x[k]')}, {_HI.format('y[k]')}))) = 0 THEN 'CONTRADICTION' ELSE 'BOUNDARY' END AS kind
 FROM p JOIN m USING (subject, object) WHERE (ix IS NULL OR iy IS NULL OR ix = iy) AND len(list_filter(list_intersect(map_keys(rx), map_keys(ry)), lambda k: NOT coalesce(list_has_any(rx[k], ry[k]), true))) = 0""",
     "inferred_links": f"""WITH RECURSIVE {_C}, {_R}, {_V}, b AS (SELECT subject, object, CASE WHEN p_plus > 0.5 THEN 1 ELSE -1 END AS sign, greatest(p_plus, 1 - p_plus) AS p FROM bel WHERE p_plus <> 0.5)
 SELECT a.subject, a.object AS via, c.object, CAST(a.sign * c.sign AS INT) AS sign, round(0.9 * a.p * c.p, 6) AS p FROM b a JOIN b c ON c.subject = a.object AND a.subject <> c.object WHERE 0.9 * a.p * c.p >= 0.5 AND NOT EXISTS (SELECT 1 FROM bel x WHERE x.subject = a.subject AND x.object = c.object)""",

@@ -140,7 +140,7 @@ def test_evidence_counts_origins_not_copies(spark):
     assert b["a_b", "c"] == pytest.approx(0.5) and b["c", "d"] == pytest.approx(0.8)
     off = {(r.subject, r.object): r.p_plus for r in evidence.belief(c, roots, point={"t": 5.0}).collect()}
     assert off["a_b", "c"] == pytest.approx(0.8)
-    assert {(r.plus, r.kind) for r in evidence.stress_points(c).collect()} == {("g:1", "CONTRADICTION"), ("g:2", "CONTRADICTION")}
+    assert {(r.plus, r.minus, r.n_plus, r.kind) for r in evidence.stress_points(c).collect()} == {("g:1", "g:3", 2, "CONTRADICTION")}
     links = evidence.inferred_links(spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.1), ("b", "a", 0.9)], "subject string, object string, p_plus double")).collect()
     assert [(r.subject, r.via, r.object, r.sign) for r in links] == [("a", "b", "c", -1)]
     assert evidence.belief(c.limit(0), roots).count() == 0
