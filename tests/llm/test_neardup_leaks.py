@@ -38,6 +38,24 @@ def test_pairs_equal_brute_force(spark, t, block):
     assert all(groups[a][0] == groups[b][0] for a, b in want)
 
 
+@pytest.mark.parametrize("t, small, large", [(Fraction(3, 4), (9, 10, 11), (12, 13, 14)), (Fraction(4, 5), (7,), (8,))])
+def test_pairs_across_the_two_key_forms(spark, t, small, large):
+    """Records that emit single words and n-grams, against partners that emit n-grams only."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(400):
+        a, b = rng.choice(small), rng.choice(large)
+        both = [f"p{k}_{i}" for i in range(a + b)]
+        common = min(a, -int(-t * (a + b) // (1 + t)))
+        x, y = both[:a], both[a - common : a - common + b]
+        rows += [(f"a{k:03}", x), (f"b{k:03}", y)]
+    df = spark.createDataFrame(rows, "uid string, tokens array<string>")
+    got = {tuple(r) for r in neardup.NearDuplicates(df, t).all_pairs().collect()}
+    sets = dict(rows)
+    want = {(f"a{k:03}", f"b{k:03}") for k in range(400) if near(sets[f"a{k:03}"], sets[f"b{k:03}"], t)}
+    assert len(want) > 100 and got == want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "uid string, tokens array<string>")
     found = neardup.NearDuplicates(df)
