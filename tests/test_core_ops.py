@@ -44,6 +44,16 @@ def test_stats_expressions(spark):
     assert one(spark, S.pool_tests_per_item(F.lit(0.0), F.lit(10))) == pytest.approx(0.1)
 
 
+def test_fused_ranks_take_all_documents(spark):
+    n = 2500
+    a = spark.range(n).select("id", F.lit(1.0).alias("score"))
+    b = spark.range(n).select("id", (F.col("id") % 7 + 1).cast("double").alias("score"))
+    got = dict(map(tuple, retrieval.fuse_ranks([a.repartition(5), b.repartition(3)]).collect()))
+    second = {i: p for p, i in enumerate(sorted(range(n), key=lambda i: (-(i % 7), i)), 1)}
+    assert got == pytest.approx({i: 1 / (60 + i + 1) + 1 / (60 + second[i]) for i in range(n)})
+    assert retrieval.fuse_ranks([a.limit(0)]).count() == 0
+
+
 def test_retrieval(spark):
     df = spark.createDataFrame([(1, "copper foam gap", "x"), (2, "gap gap lens", None), (3, None, "x"), (4, "", "copper")], "id long, a string, b string")
     posts = retrieval.postings(df, "id", {"a": 2, "b": 1})
