@@ -146,23 +146,69 @@ def sign_changes(rows: DataFrame, by: list[str], order: list[str], value: str) -
     return s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_s") != F.col("_b")).alias("n_changes"))
 
 
-def distance_correlation(rows: DataFrame, by: list[str], a: str, b: str, at_most: int = 800) -> DataFrame:
-    """(by, n, dcor) per group, by a kernel on the group's at_most rows of smallest hash: the statistic is quadratic and defined on that sample. The sample is a bounded top-n, so a hot group is cut before it gathers."""
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(a, b), a, b)
-    kept = rows.dropna(subset=[a, b]).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= at_most)
+def _mean_distances(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For each value its mean distance to all values of weights w (of sum 1), by sorting and prefix sums."""
+    order = np.argsort(x, kind="stable")
+    xs, ws = x[order], w[order]
+    below, moment = np.cumsum(ws), np.cumsum(ws * xs)
+    out = np.empty(len(x))
+    out[order] = xs * (2 * below - below[-1]) - 2 * moment + moment[-1]
+    return out
+
+
+def _mean_product(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Mean of |x_i - x_j| |y_i - y_j| over all pairs: for each point the weighted sums over the points below it in both are found by halving the order of x, each half kept in the order of y."""
+    n = len(x)
+    at = np.empty(n, np.int64)
+    at[np.lexsort((y, x))] = np.arange(n)  # place in x; with equal values either side of a pair gives 0
+    order = np.lexsort((x, y))
+    below = np.zeros((4, n))
+    marks = np.stack((w, w * x, w * y, w * x * y))
+    bits = max(1, int(n - 1).bit_length())
+    for bit in range(bits - 1, -1, -1):
+        # order: by block (the places with equal higher bits), then by y
+        left = (at[order] >> bit & 1) == 0
+        run = np.cumsum(np.where(left, marks[:, order], 0.0), axis=1)
+        block = at[order] >> (bit + 1)
+        start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        base = np.concatenate((np.zeros((4, 1)), run), axis=1)[:, start]
+        which = np.cumsum(np.append(0, block[1:] != block[:-1]))
+        right = np.flatnonzero(~left)
+        below[:, order[right]] += run[:, right] - base[:, which[right]]
+        order = order[np.argsort(at[order] >> bit, kind="stable")]
+    # |dx||dy| is dx dy for concordant pairs and -dx dy for the others: the sum over all is 4 x (concordant i > j) - 2 x the whole of dx dy over i > j
+    concordant = float((w * (x * y * below[0] - y * below[1] - x * below[2] + below[3])).sum())
+    total, mx, my, mxy = marks.sum(1)
+    return 4 * concordant - 2 * float(total * mxy - mx * my)
+
+
+def distance_correlation(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """(by, n, dcor) per group over all its rows, exactly: rows with the same pair of values are counted before the shuffle, and a kernel takes the distinct pairs of a group with their counts,
+    in n log n time and n memory by sorts and prefix sums. Rows without a value, or with one that is not finite, abstain."""
+    finite = [F.abs(F.col(c).cast("double")) < float("inf") for c in (a, b)]
+    counted = rows.dropna(subset=[a, b]).filter(finite[0] & finite[1]).groupBy(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     kinds = dict(rows.dtypes)
 
-    def centred(x: np.ndarray) -> np.ndarray:
-        d = np.abs(x[:, None] - x[None])
-        return d - d.mean(0) - d.mean(1)[:, None] + d.mean()
+    def scaled(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        x = x - (w * x).sum()
+        return x / max(np.abs(x).max(), 1e-300)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = centred(pdf[a].to_numpy(float)), centred(pdf[b].to_numpy(float))
-        vx, vy = (x * x).mean(), (y * y).mean()
-        value = float(np.sqrt(max(0.0, (x * y).mean()) / np.sqrt(vx * vy))) if vx > 0 and vy > 0 else None
-        return pd.DataFrame([(*key, len(pdf), value)], columns=[*by, "n", "dcor"])
+        n = int(pdf["_n"].sum())
+        w = pdf["_n"].to_numpy(float) / n
+        value = None
+        if pdf["_a"].nunique() > 1 and pdf["_b"].nunique() > 1:
+            x, y = scaled(pdf["_a"].to_numpy(), w), scaled(pdf["_b"].to_numpy(), w)
+            dx, dy = _mean_distances(x, w), _mean_distances(y, w)
+
+            def covariance(own: float, p: np.ndarray, q: np.ndarray) -> float:
+                return own + float((w * p).sum() * (w * q).sum()) - 2 * float((w * p * q).sum())
+
+            vx, vy = covariance(2 * float((w * x * x).sum() - (w * x).sum() ** 2), dx, dx), covariance(2 * float((w * y * y).sum() - (w * y).sum() ** 2), dy, dy)
+            value = float(np.sqrt(max(0.0, covariance(_mean_product(x, y, w), dx, dy)) / np.sqrt(vx * vy))) if vx > 0 and vy > 0 else None
+        return pd.DataFrame([(*key, n, value)], columns=[*by, "n", "dcor"])
 
-    return kept.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", n bigint, dcor double")
+    return counted.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", n bigint, dcor double")
 
 
 def bootstrap_difference(rows: DataFrame, by: list[str], id_cols: list[str], a: str, b: str, draws: int = 500, seed: int = 0) -> DataFrame:

@@ -223,6 +223,18 @@ def test_gates(spark):
     assert one_.low < one_.mean < one_.high and one_.low == pytest.approx(many.low)
 
 
+def test_distance_correlation_takes_all_rows(spark):
+    rng = random.Random(9)
+    data = [("g", float(x := rng.randrange(40)), x * x / 9 + rng.choice([0.0, 5.0, rng.gauss(0, 400)])) for _ in range(1500)]
+    data += [("h", rng.gauss(0, 1), float(rng.randrange(3))) for _ in range(37)] + [("h", 1.0, 1.0)] * 5
+    got = {r.g: r for r in gates.distance_correlation(spark.createDataFrame([*data, ("h", None, 1.0)], "g string, a double, b double"), ["g"], "a", "b").collect()}
+    for g in "gh":
+        x, y = (np.array([r[c] for r in data if r[0] == g]) for c in (1, 2))
+        dx, dy = (d - d.mean(0) - d.mean(1)[:, None] + d.mean() for d in (np.abs(v[:, None] - v[None]) for v in (x, y)))
+        want = np.sqrt((dx * dy).mean() / np.sqrt((dx * dx).mean() * (dy * dy).mean()))
+        assert got[g].n == len(x) and got[g].dcor == pytest.approx(want, rel=1e-9)
+
+
 def test_regime_against_enumeration(spark):
     post = regime.SignPosterior(6, 0.3, 0.1)
     post.add_reading(1, 1, 0.9)
