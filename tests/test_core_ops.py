@@ -176,6 +176,19 @@ def test_margins(spark):
     assert plain["e"].m == pytest.approx(5 / 3) and plain["f"].p_violated == pytest.approx(0, abs=1e-3)
 
 
+def test_margins_of_large_keys_equal_gls(spark):
+    rng = random.Random(4)
+    data = []
+    for k in range(3):
+        sets = {tuple(sorted(rng.sample("abcdefgh", rng.randrange(1, 4)))) for _ in range(12)} | {(), ("a", None)}
+        data += [(f"k{k}", rng.gauss(1, 1), rng.uniform(0.2, 2), list(r)) for r in sorted(sets, key=str) for _ in range(rng.randrange(1, 3))]
+    df = spark.createDataFrame([*data, ("one", 2.0, 0.5, ["a"])], "k string, m double, s double, roots array<string>")
+    small, steps, joins = ({r.k: tuple(r)[1:] for r in lineage.lineage_margins(df, "k", "m", "s", "roots", patterns=n, **more).collect()} for n, more in ((400, {}), (3, {}), (3, {"task_patterns": 3})))
+    assert small.keys() == steps.keys() == joins.keys() and len(small) == 4
+    for k, want in small.items():
+        assert steps[k] == pytest.approx(want, rel=1e-6, abs=1e-8) and joins[k] == pytest.approx(want, rel=1e-6, abs=1e-8)
+
+
 def test_platt_and_split(spark):
     rng = random.Random(2)
     data = []
