@@ -21,7 +21,7 @@ SAMPLE_WORDS = 1200
 #: Given names that make up at least 1/NAME_SHARE of the authors are told to every task, so at most NAME_SHARE of them.
 NAME_SHARE = 20_000
 BUCKETS = 1 << 16
-#: Words of a text whose labels are inferred together; longer texts are cut where no word can be inside a mention, each part as long as this at least.
+#: Words of a part that parts() makes, at least. Finding does not use parts: its texts stay whole.
 PART_WORDS = 4000
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\s]")
@@ -542,17 +542,12 @@ def fit_on(documents: DataFrame, given: frozenset[str], family: frozenset[str],
 def _found(field, id_col: str, text_col: str, redact: bool, chunk_chars: int = 1_500_000):
     def label(texts: list[str]) -> list[list[tuple[int, int, int]]]:
         model: Field = field.value
-        pieces, where = [], []
-        for i, text in enumerate(texts):
-            for at, piece in parts(text):
-                pieces.append(piece)
-                where.append((i, at))
-        words = Words(pieces, model.given, model.family)
+        # texts of any length stay whole: features and links see all of it, and decode() cuts its chains only at settled words
+        words = Words(texts, model.given, model.family)
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         if len(words.tokens):
-            for p, a, b, kind in mentions(words, model.decode(words)):
-                i, at = where[p]
-                out[i].append((at + a, at + b, kind))
+            for i, a, b, kind in mentions(words, model.decode(words)):
+                out[i].append((a, b, kind))
         return out
 
     def rows(ids: list, texts: list) -> pd.DataFrame:

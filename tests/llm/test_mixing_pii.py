@@ -149,6 +149,18 @@ def test_tables(spark, field):
     assert pii.find_pii(df.limit(0), field).count() == 0
 
 
+def test_long_texts_are_labelled_whole(spark, field):
+    """A mention anywhere in a text beyond 48,000 characters is found as it stands, also where a blank of it is the first after a multiple of 24,000."""
+    mention = "Contact: Zoé Kellor today"
+    lead = ("word " * 5000)[: 24_000 - len("Contact: Zoé")]
+    text = lead[:-1] + " " + mention + " word" * 12_000
+    assert text.index(" ", 24_000) == text.index(" Kellor")
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert [tuple(r) for r in pii.find_pii(df, field).collect()] == [(1, "name", "Zoé Kellor")]
+    clean = pii.redact(df, field).first()
+    assert clean.n_replaced == 1 and clean.clean_text == text.replace("Zoé Kellor", "[NAME]")
+
+
 def test_parts_cover_the_text():
     for text in ("", "a b", "word " * 20_000, "x" * 100_000, ("line\n\n" * 9000)):
         assert "".join(p for _, p in pii.parts(text, 500)) == text
