@@ -61,7 +61,7 @@ def _sketch(pdf: pd.DataFrame, k: int, seed: int, tolerance: float) -> pd.DataFr
     z = r / d
     p, rz = z.copy(), (r * z).sum(0)
     first = rz.copy()
-    for _ in range(10 * len(ids)):
+    for _ in range(10 * len(ids) + 1):
         if (rz <= tolerance**2 * np.maximum(first, 1e-300)).all():
             break
         ap = d * p - np.add.reduceat(ww[:, None] * p[dst], starts, axis=0)
@@ -73,6 +73,8 @@ def _sketch(pdf: pd.DataFrame, k: int, seed: int, tolerance: float) -> pd.DataFr
         new = (r * z).sum(0)
         p = z + np.where(rz > 0, new / np.where(rz > 0, rz, 1), 0) * p
         rz = new
+    else:
+        raise RuntimeError(f"{10 * len(ids)} steps did not solve a component of {len(ids)} nodes")
     x -= x.mean(0)
     return pd.DataFrame({"id": ids, "hole": (x * x).sum(1)})
 
@@ -92,12 +94,12 @@ def _sum_arrays(column: str, k: int) -> F.Column:
     return F.array(*[F.sum(F.get(column, i)) for i in range(k)])
 
 
-def hole_field(edges: DataFrame, k: int = 32, seed: int = 0, rounds: int = 200, tolerance: float = 1e-5, dense_links: int = DENSE_LINKS, dense_nodes: int = DENSE_NODES, task_links: int = TASK_LINKS) -> DataFrame:
+def hole_field(edges: DataFrame, k: int = 64, seed: int = 0, rounds: int | None = None, tolerance: float = 1e-5, dense_links: int = DENSE_LINKS, dense_nodes: int = DENSE_NODES, task_links: int = TASK_LINKS) -> DataFrame:
     """(id, component, hole): the diagonal of the Laplacian pseudo-inverse of each component; high where a node hangs loosely.
 
     Components of up to dense_links links and dense_nodes nodes are solved exactly, one per task. Larger ones are sketched: k random projections of the links and k Laplacian solves by conjugate gradients with
-    Jacobi scaling; the estimate is ||z||^2, off by about sqrt(2/k). Up to task_links links that is done inside one task; beyond, every product is a join with the links and a grouped sum, cut each
-    round. The signs come from a hash of the link, so both ways give the same sketch. Nodes without a link do not appear.
+    Jacobi scaling; the estimate is ||z||^2, off by about sqrt(2/k): with 64, 16 % (root mean square; at most 44 %) on the 1,854 nodes of the giant component at sf0.1. Up to task_links links that is done inside one task; beyond, every product is a join with the links and a grouped sum, cut each
+    round. Steps are made until the tolerance is met; if 10 per node (or `rounds`) do not meet it, that is an error. The signs come from a hash of the link, so both ways give the same sketch. Nodes without a link do not appear.
     """
     scratch = Scratch(edges.sparkSession, "resistance")
     links = scratch.cut(weighted_links(edges))
@@ -129,7 +131,8 @@ def hole_field(edges: DataFrame, k: int = 32, seed: int = 0, rounds: int = 200,
 
     rz = dots(state, "r", "z")
     first = rz.copy()
-    for _ in range(rounds):
+    steps = 10 * degree.count() if rounds is None else rounds
+    for _ in range(steps + 1):
         if (rz <= tolerance**2 * np.maximum(first, 1e-300)).all():
             break
         flow = both.join(state.select(F.col("id").alias("v"), "p"), "v").select(F.col("u").alias("id"), F.transform("p", lambda s: s * F.col("w")).alias("m")).groupBy("id").agg(_sum_arrays("m", k).alias("m"))
@@ -144,6 +147,8 @@ def hole_field(edges: DataFrame, k: int = 32, seed: int = 0, rounds: int = 200,
         nxt = scratch.cut(moved.withColumn("p", zip2(F.col("z"), zip2(beta, F.col("p"), lambda s, t: s * t), lambda s, t: s + t)))
         scratch.drop(state, with_ap, moved)
         state, rz = nxt, new
+    else:
+        raise RuntimeError(f"{steps} steps did not solve the components of more than {task_links} links")
     # the pseudo-inverse lies across the constant vectors: each component's mean goes
     solved = state.select("id", "x").join(comp, "id")
     mean = solved.groupBy("component").agg(F.array(*[F.avg(F.get("x", i)) for i in range(k)]).alias("m"))

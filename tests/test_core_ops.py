@@ -305,6 +305,12 @@ def test_resistance_exact_and_sketch(spark):
     assert resistance.hole_field(df.limit(0)).count() == 0
 
 
+def test_resistance_by_joins_is_solved_or_fails(spark):
+    chain = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}", 1.0) for i in range(12)], "src string, dst string, w double")
+    with pytest.raises(RuntimeError):
+        resistance.hole_field(chain, k=4, task_links=0, rounds=2).count()
+
+
 def test_ledger(spark):
     data = [(1, "a", None), (2, "b", ["a"]), (3, "c", ["b", "zz", "c", "d"]), (4, "d", []), (5, "a", None)]
     df = spark.createDataFrame(data, "line long, id string, supersedes array<string>")
