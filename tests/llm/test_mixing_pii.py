@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from ledgerloom.llm import mixing, pii
+from ledgerloom.llm import mixing, pii, pii_labels
 
 
 def make_docs(spark, n=400):
@@ -91,7 +91,7 @@ def sentences(n, seed):
 
 @pytest.fixture(scope="module")
 def field():
-    return pii.fit([t for t, _ in sentences(500, 1)], GIVEN, FAMILY, passes=4)
+    return pii.fit([t for t, _ in sentences(500, 1)], GIVEN, FAMILY)
 
 
 def test_held_out_accuracy(field):
@@ -112,7 +112,7 @@ def test_messages_agree_with_enumeration():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    f = pii.Field(rng.normal(size=(pii.BUCKETS, pii.N_LABELS)).astype(np.float32), rng.normal(size=(pii.N_LABELS, pii.N_LABELS)), 0.0, GIVEN, FAMILY)
+    f = pii.Field(rng.normal(size=(pii.BUCKETS, pii.N_LABELS)).astype(np.float32), rng.normal(size=(pii.N_LABELS, pii.N_LABELS)), np.zeros((pii.N_SORTS, pii.N_TOGETHER)), GIVEN, FAMILY)
     score = f.scores(words)
 
     def value(path):
@@ -134,9 +134,64 @@ def test_messages_agree_with_enumeration():
 
 
 def test_skip_links_join_repeats_once():
-    words = pii.Words(["Kellor met Tobin Kellor. KELLOR left", "Kellor"], GIVEN, FAMILY)
-    a, b = words.skip_links()
-    assert [(words.tokens[x], words.tokens[y]) for x, y in zip(a, b, strict=True)] == [("Kellor", "Kellor"), ("Kellor", "KELLOR")]
+    words = pii.Words(["Kellor met Tobin Kellor. KELLOR left; kellor@kiln.test of T. Kellor, ext. 55501, or 55501", "Kellor"], GIVEN, FAMILY)
+    got = {(words.tokens[x], words.tokens[y], int(s)) for x, y, s in zip(*words.skip_links(), strict=True)}
+    assert got == {("Kellor", "Kellor", 0), ("Kellor", "KELLOR", 0), ("KELLOR", "Kellor", 0), ("KELLOR", "kellor", 1), ("kellor", "Kellor", 1), ("Tobin", "T", 2), ("55501", "55501", 3)}
+    assert len(words.skip_links()[0]) == 7 and not len(pii.Words([""], GIVEN, FAMILY).skip_links()[0])
+
+
+def test_the_field_finds_what_no_pattern_matches(field):
+    """Given and family names that no list holds, streets and numbers of other shapes: the patterns that label the sample find few of them, the field nearly all."""
+    rng = random.Random(5)
+    fill = ["The tilt stage drifted by 3.2 um.", "We booked 40 hours on the comb.", "The Kellor-Mardari relation predicts 7 V. Our fit agrees.", "Lot 0478-91-423 failed.", "See run 2021-03-5926 for the trace."]
+    held = []
+    for _ in range(120):
+        text, spans = "", []
+        for lead, kind, make in rng.sample([("Contact: ", 0, lambda: f"{rng.choice(['Quilla', 'Ombra', 'Wystan', 'Ferro'])} {rng.choice(['Ulmquist', 'Thraven', 'Ostrander', 'Pelloway'])}"), ("write to ", 1, lambda: f"{rng.choice('qwz')}{rng.randrange(99)}x@{rng.choice(['north', 'mill'])}.test"), ("call ", 2, lambda: f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"), ("passport no. ", 3, lambda: f"K{rng.randrange(10**6, 10**7)}"), ("shipped to ", 4, lambda: f"{rng.randrange(1, 99)} {rng.choice(['Osier', 'Heron'])} Lane, Flat {rng.randrange(1, 9)}, Norwick")], 2):
+            text += rng.choice(fill) + " " + lead
+            surface = make()
+            spans.append((len(text), len(text) + len(surface), kind))
+            text += surface + rng.choice([" today. ", ", as said. ", "\n"])
+        held.append((text + rng.choice(fill), spans))
+    want = {(i, *s) for i, (_, spans) in enumerate(held) for s in spans}
+    words = pii.Words([t for t, _ in held], GIVEN, FAMILY)
+    got = set(pii.mentions(words, field.decode(words)))
+    assert len(got & want) / len(want) >= 0.9 and len(got & want) / len(got) >= 0.9
+    by_patterns = {(i, *s) for i, (t, _) in enumerate(held) for s in pii_labels.sample_labels(t, GIVEN, FAMILY)}
+    names = {w for w in want if w[3] == 0}
+    assert not names & by_patterns and len(names & got) / len(names) >= 0.9
+
+
+def test_links_carry_a_label_to_an_unclear_place():
+    """A name is told by its first place only; without links the later place is labelled like that of the apparatus beside it."""
+    rng = random.Random(8)
+
+    def word():
+        return "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(2, 4))).capitalize()
+
+    def made(n):
+        out = []
+        for _ in range(n):
+            a, b, c, d = word() + "x", word() + "q", word() + "x", word() + "q"
+            pair, thing = f"{a} {b}", f"{c} {d}"
+            first = rng.random() < 0.5
+            later = [pair, thing] if first else [thing, pair]
+            text = f"Visitor {pair} came in. The apparatus {thing} was on. It was warm. Then {later[0]} stayed, and then {later[1]} stayed."
+            at = text.index(pair)
+            again = text.index(pair, at + 1)
+            out.append((text, [(at, at + len(pair), 0), (again, again + len(pair), 0)]))
+        return out
+
+    train, held = made(500), made(100)
+    f = pii.fit([t for t, _ in train], frozenset(), frozenset(), spans=[s for _, s in train])
+    words = pii.Words([t for t, _ in held], frozenset(), frozenset())
+    want = {(i, *s[1]) for i, (_, s) in enumerate(held)}
+    firsts = {(i, *s[0]) for i, (_, s) in enumerate(held)}
+    got, alone = set(pii.mentions(words, f.decode(words))), set(pii.mentions(words, f.decode(words, coupled=False)))
+    assert len(got & firsts) >= 95 and len(alone & firsts) >= 95
+    right, wrong = len(got & want), len(got - want - firsts)
+    right_alone, wrong_alone = len(alone & want), len(alone - want - firsts)
+    assert right - wrong >= 60 and right_alone - wrong_alone <= 30
 
 
 def test_tables(spark, field):
@@ -161,9 +216,17 @@ def test_long_texts_are_labelled_whole(spark, field):
     assert clean.n_replaced == 1 and clean.clean_text == text.replace("Zoé Kellor", "[NAME]")
 
 
-def test_parts_cover_the_text():
-    for text in ("", "a b", "word " * 20_000, "x" * 100_000, ("line\n\n" * 9000)):
-        assert "".join(p for _, p in pii.parts(text, 500)) == text
+def test_chains_in_pieces_are_like_whole_ones(field):
+    text = " ".join(t for t, _ in sentences(700, 9))
+    words = pii.Words([text], GIVEN, FAMILY)
+    assert len(words.tokens) > 2 * pii.PIECE + 4 * pii.MARGIN
+    labels = field.decode(words)
+    keep = pii.PIECE
+    try:
+        pii.PIECE = 10**9
+        assert (field.decode(words) == labels).all()
+    finally:
+        pii.PIECE = keep
 
 
 def test_fit_without_mentions():
@@ -174,4 +237,29 @@ def test_fit_without_mentions():
 
 def test_known_names(spark):
     df = spark.createDataFrame([(["Elif Kellor", "Zoé  van Mardari", None, ""],), (None,)], "authors array<string>")
-    assert pii.known_names(df) == (frozenset({"elif", "zoé"}), frozenset({"kellor", "mardari"}))
+    given, family = pii.known_names(df)
+    assert all(n in given for n in ("elif", "zoé")) and all(n in family for n in ("kellor", "mardari"))
+    assert not any(n in given for n in ("kellor", "van", "stage")) and not any(n in family for n in ("elif", "van"))
+    assert not any(n in pii.known_names(df.limit(0))[0] for n in ("elif", "a"))
+
+
+def test_save_and_load(spark, field, tmp_path):
+    held = pii.Field(field.weights, field.moves, field.ties, pii.NameFilter.of(GIVEN), pii.NameFilter.of(FAMILY))
+    held.save(spark, f"file://{tmp_path}/field")
+    back = pii.Field.load(spark, f"file://{tmp_path}/field")
+    texts = [t for t, _ in sentences(50, 3)]
+    words = pii.Words(texts, back.given, back.family)
+    assert (back.decode(words) == held.decode(words)).all()
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, f"Contact: Elif Kellor, note {k}") for k in range(400)] + [(900, "x " * 9000), (901, None)], "doc_id bigint, text string")
+    drawn = []
+    fit, pii.fit = pii.fit, lambda texts, *a: drawn.append(texts)
+    try:
+        pii.fit_on(docs, GIVEN, FAMILY, rows=100)
+        pii.fit_on(docs, GIVEN, FAMILY, rows=10_000)
+        pii.fit_on(docs.limit(0), GIVEN, FAMILY)
+    finally:
+        pii.fit = fit
+    assert 50 < len(drawn[0]) <= 100 and len(drawn[1]) > 350 and drawn[2] == [] and max(map(len, drawn[1])) < pii.SAMPLE_CHARS
