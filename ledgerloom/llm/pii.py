@@ -378,8 +378,9 @@ class Field:
         out = np.zeros((len(words.tokens), N_LABELS), np.float32)
         for code, tables in words.by_kind:
             out += sum(self.weights[t] for t in tables)[code]
+        looked_up = np.empty_like(out)
         for column in words.by_word:
-            out += self.weights[column]
+            out += np.take(self.weights, column, axis=0, out=looked_up, mode="clip")
         return out
 
     def _chain(self, local: np.ndarray, places: np.ndarray, mask: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -443,8 +444,8 @@ class Field:
         local[pick] = within
         return local, sent, cavity
 
-    def decode(self, words: Words, rounds: int = 3, coupled: bool = True) -> np.ndarray:
-        """The labels of all words: the best path of each chain under the last messages of its links; coupled False leaves the links out."""
+    def decode(self, words: Words, rounds: int = 2, coupled: bool = True) -> np.ndarray:
+        """The labels of all words: the best path of each chain under the last messages of its links, after as many rounds as in fitting; coupled False leaves the links out."""
         score = self.scores(words)
         if not len(score):
             return np.zeros(0, np.int64)
