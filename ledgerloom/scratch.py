@@ -15,7 +15,8 @@ def shared_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; only where it is unset (as in tests) one is made and set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        # one machine only: "local" and "local[n]", whose tasks run in this process; "local-cluster" has executors of its own
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -28,6 +29,12 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> str:
+    """Marks a folder to be deleted when the driver exits."""
+    _kept.append((spark, path))
+    return path
+
+
 class Scratch:
     """A folder of written tables. cut() materialises a frame, drop() removes one that is no longer read.
 
