@@ -9,7 +9,7 @@ from copy import deepcopy
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import shared_root
+from ..scratch import Scratch, delete, keep_until_exit, shared_root
 
 
 def clean_items(*arrays: Column) -> Column:
@@ -23,45 +23,59 @@ def clean_items(*arrays: Column) -> Column:
 class PairTable:
     """Persistent counts of baskets, items and item pairs in a folder, kept up to date by changed baskets.
 
-    baskets: current items of every basket; items: baskets per item; pairs: baskets per pair (item_a < item_b). Each is split by hash into
-    `buckets` parts. apply() takes the new state of changed baskets, emits signed deltas of pairs and marginals, sums them
-    (map-side first), and rewrites only the buckets with a delta, as a new version; the manifest says which version of a bucket holds. A failed
-    apply leaves the former manifest, so nothing is counted twice; a basket delivered again unchanged has no delta.
+    baskets: current items of every basket; items: baskets per item; pairs: baskets per pair (item_a < item_b). Each is split into `buckets` parts by the hash that a shuffle on its key uses, so
+    with as many shuffle partitions (the default) the task that sums a bucket also writes it. apply() takes the new state of changed baskets, emits signed deltas of pairs and marginals,
+    sums them (map-side first), and rewrites only the buckets with a delta, as a new version. Manifests are numbered; the highest complete one says which version of a bucket holds, so a failed
+    apply leaves the state before it and nothing is counted twice; a basket delivered again unchanged has no delta. Versions that neither of the last two
+    manifests names are deleted.
     """
 
-    KINDS = {"baskets": "basket string, items array<string>, bucket int", "items": "item string, n bigint, bucket int", "pairs": "item_a string, item_b string, n_ab bigint, bucket int"}
+    KINDS = {"baskets": ("basket string, items array<string>, bucket int", ["basket"]), "items": ("item string, n bigint, bucket int", ["item"]), "pairs": ("item_a string, item_b string, n_ab bigint, bucket int", ["item_a", "item_b"])}
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self.manifest: dict = {"version": 0, "baskets_total": 0, **{k: {} for k in self.KINDS}}
-        self.changed_items: DataFrame | None = None
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.manifest: dict = {"version": 0, "baskets_total": 0, "changed": None, **{k: {} for k in self.KINDS}}
+        self._former: dict = self.manifest
         self._load()
 
-    # the manifest is one small file of at most 3 x buckets entries
-    def _file(self):
+    # a manifest is one small file of at most 3 x buckets entries
+
+    def _fs(self):
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest.json")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm.org.apache.hadoop.fs.Path, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _load(self) -> None:
-        fs, p = self._file()
-        if fs.exists(p):
-            self.manifest = json.loads("\n".join(r.value for r in self.spark.read.text(p.toString()).collect()))
-            self.buckets = self.manifest["buckets"]
-
-    def _save(self) -> None:
-        fs, p = self._file()
-        self.manifest["buckets"] = self.buckets
-        tmp = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest.tmp")
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(self.manifest).encode()))
+        path, fs = self._fs()
+        where = path(f"{self.path}/manifests")
+        if not fs.exists(where):
+            return
+        # a file gets its final name only once it is complete
+        names = sorted(n for n in (f.getPath().getName() for f in fs.listStatus(where)) if n.endswith(".json"))
+        for name in names[-2:]:
+            self._former, self.manifest = self.manifest, json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifests/{name}").collect()))
+        self.buckets = self.manifest.get("buckets", self.buckets)
+
+    def _save(self, manifest: dict) -> None:
+        path, fs = self._fs()
+        name = f"{self.path}/manifests/{manifest['version']:012d}"
+        out = fs.create(path(f"{name}.tmp"), True)
+        out.write(bytearray(json.dumps({**manifest, "buckets": self.buckets}).encode()))
         out.close()
-        fs.delete(p, False)
-        fs.rename(tmp, p)
+        if not fs.rename(path(f"{name}.tmp"), path(f"{name}.json")):
+            raise RuntimeError(f"another writer has made version {manifest['version']} of {self.path}")
+        named = {v for m in (manifest, self.manifest) for k in self.KINDS for v in m[k].values()} | {m["changed"] for m in (manifest, self.manifest)}
+        for kind in (*self.KINDS, "changed"):
+            where = path(f"{self.path}/{kind}")
+            for f in fs.listStatus(where) if fs.exists(where) else []:
+                if f.getPath().getName() not in named:
+                    fs.delete(f.getPath(), True)
+        self._former, self.manifest = self.manifest, manifest
 
     def _read(self, kind: str, only: list[int] | None = None) -> DataFrame:
         """The current rows, or those of some buckets: each version is read for the buckets in which it holds."""
-        schema = self.KINDS[kind]
+        schema = self.KINDS[kind][0]
         by_version: dict[str, list[int]] = {}
         for bucket, version in self.manifest[kind].items():
             if only is None or int(bucket) in only:
@@ -69,25 +83,29 @@ class PairTable:
         out = self.spark.createDataFrame([], schema)
         for version, buckets in sorted(by_version.items()):
             part = self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/{version}")
-            out = out.unionByName(part.filter(F.col("bucket").isin(buckets)))
+            out = out.unionByName(part if len(buckets) == self.buckets else part.filter(F.col("bucket").isin(buckets)))
         return out
 
-    def _write(self, kind: str, rows: DataFrame, touched: list[int], version: str) -> None:
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{kind}/{version}")
-        self._next[kind].update({str(b): version for b in touched})
+    def _write(self, kind: str, rows: DataFrame, touched: list[int], version: str, into: dict) -> None:
+        rows.withColumn("bucket", self._bucket(kind)).write.partitionBy("bucket").parquet(f"{self.path}/{kind}/{version}")
+        into[kind].update({str(b): version for b in touched})
 
-    def _bucket(self, *columns: str) -> Column:
-        return F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("int").alias("bucket")
+    def _bucket(self, kind: str) -> Column:
+        return F.pmod(F.hash(*self.KINDS[kind][1]), F.lit(self.buckets))
 
     @staticmethod
-    def _pairs(baskets: DataFrame, slice_items: int = 512) -> DataFrame:
-        """(item_a, item_b, w): all pairs of each basket's sorted items. Each row of work holds one item against a slice of the later ones,
-        so the pairs of an oversized basket are spread over tasks."""
-        each = baskets.select("items", "w", F.posexplode("items").alias("i", "item_a"))
-        if slice_items:
-            starts = F.sequence(F.col("i") + 2, F.size("items"), F.lit(slice_items))
-            each = each.filter(F.col("i") + 2 <= F.size("items")).select("item_a", "w", "items", F.explode(starts).alias("start")).select("item_a", "w", F.slice("items", F.col("start"), F.lit(slice_items)).alias("later"))
-        return each.select("item_a", F.explode("later").alias("item_b"), "w")
+    def _pairs(baskets: DataFrame, block: int = 64) -> DataFrame:
+        """(item_a, item_b, w): all pairs of each basket's sorted items. Baskets of more than a block of items are cut into blocks, and each two blocks go as one row to a task of their own
+        before any pair is made, so an oversized basket is work for all."""
+        small = baskets.filter(F.size("items") <= block).select(F.col("items").alias("left"), F.col("items").alias("right"), F.lit(True).alias("same"), "w")
+        large = baskets.filter(F.size("items") > block).select("items", "w", F.ceil(F.size("items") / block).cast("int").alias("blocks"))
+        one = large.select("items", "w", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+        two = one.select("w", F.slice("items", F.col("i") * block + 1, F.lit(block)).alias("left"), "i", "items", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
+        met = two.select("left", F.slice("items", F.col("j") * block + 1, F.lit(block)).alias("right"), (F.col("i") == F.col("j")).alias("same"), "w").repartition(F.xxhash64(F.col("left")[0], F.col("right")[0]))
+        rows = small.unionByName(met)
+        each = rows.select(F.posexplode("left").alias("at", "item_a"), "right", "same", "w")
+        later = F.when(F.col("same"), F.slice("right", F.col("at") + 2, F.lit(block))).otherwise(F.col("right"))
+        return each.select("item_a", F.explode(later).alias("item_b"), "w")
 
     def apply(self, changes: DataFrame) -> None:
         """changes: (basket, items) with the new items of changed baskets, each basket once; items null: the basket is gone, empty: it stays without items.
@@ -96,45 +114,57 @@ class PairTable:
         """
         # a folder name of its own for each try: what a failed one left behind is never read
         version = f"v{self.manifest['version'] + 1}-{uuid.uuid4().hex[:8]}"
-        self._next = deepcopy(self.manifest)
-        new = changes.filter(F.col("basket").isNotNull()).select("basket", "items", self._bucket("basket"))
-        new.write.parquet(f"{self.path}/changes/{version}")
-        new = self.spark.read.schema("basket string, items array<string>, bucket int").parquet(f"{self.path}/changes/{version}")
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]
-        if not touched:
-            return
-        old = self._read("baskets", touched)
-        news = new.select("basket", F.col("items").alias("now"), F.lit(True).alias("changed"), "bucket")
-        both = old.select("basket", F.col("items").alias("was"), F.lit(True).alias("known"), "bucket").join(news, ["basket", "bucket"], "full_outer") if self.manifest["baskets"] else news.select("basket", "bucket", F.lit(None).cast("array<string>").alias("was"), F.lit(None).cast("boolean").alias("known"), "now", "changed")
-        both.write.parquet(f"{self.path}/both/{version}")
-        both = self.spark.read.parquet(f"{self.path}/both/{version}")
-        kept = F.when(F.col("changed"), F.col("now")).otherwise(F.col("was"))
-        self._write("baskets", both.select("basket", kept.alias("items"), "bucket").filter(F.col("items").isNotNull()), touched, version)
-        moved = both.filter(F.col("changed") & ~F.col("was").eqNullSafe(F.col("now")))
-        signed = moved.select(F.col("now").alias("items"), F.lit(1).alias("w")).union(moved.select(F.col("was").alias("items"), F.lit(-1).alias("w"))).filter(F.size("items") > 0)
+        work = Scratch(self.spark, "pair-changes")
+        following = deepcopy(self.manifest)
+        new = work.cut(changes.filter(F.col("basket").isNotNull()).select("basket", "items").repartition(self.buckets, "basket"))
+        first = not self.manifest["baskets"]
+        every = list(range(self.buckets))
+        if first:
+            if new.isEmpty():
+                return
+            moved = new.select("basket", F.lit(None).cast("array<string>").alias("was"), F.col("items").alias("now"))
+            self._write("baskets", new.filter(F.col("items").isNotNull()), every, version, following)
+        else:
+            touched = [r[0] for r in new.select(self._bucket("baskets").alias("b")).distinct().collect()]
+            if not touched:
+                return
+            was = self._read("baskets", touched).select("basket", F.col("items").alias("was"))
+            both = work.cut(was.join(new.select("basket", F.col("items").alias("now"), F.lit(True).alias("changed")), "basket", "full_outer"))
+            self._write("baskets", both.select("basket", F.when(F.col("changed"), F.col("now")).otherwise(F.col("was")).alias("items")).filter(F.col("items").isNotNull()), touched, version, following)
+            moved = both.filter(F.col("changed") & ~F.col("was").eqNullSafe(F.col("now")))
+        signed = moved.select(F.col("now").alias("items"), F.lit(1).alias("w")) if first else moved.select(F.explode(F.array(F.struct(F.col("now").alias("items"), F.lit(1).alias("w")), F.struct(F.col("was").alias("items"), F.lit(-1).alias("w")))).alias("s")).select("s.*")
+        signed = signed.filter(F.size("items") > 0)
         grown = moved.agg(F.coalesce(F.sum(F.col("now").isNotNull().cast("int") - F.col("was").isNotNull().cast("int")), F.lit(0))).first()[0]
-        marginals = signed.select(F.explode("items").alias("item"), "w").groupBy("item").agg(F.sum("w").alias("d")).filter("d <> 0").select("item", "d", self._bucket("item"))
-        pairs = self._pairs(signed).groupBy("item_a", "item_b").agg(F.sum("w").alias("d")).filter("d <> 0").select("item_a", "item_b", "d", self._bucket("item_a", "item_b"))
-        self._merge("items", ["item"], "n", marginals, version)
-        self._merge("pairs", ["item_a", "item_b"], "n_ab", pairs, version)
-        self.changed_items = self.spark.read.parquet(f"{self.path}/delta-items/{version}").select("item")
-        self._next["baskets_total"] += int(grown)
-        self._next["version"] += 1
-        self.manifest = self._next
-        self._save()
-
-    def _merge(self, kind: str, key: list[str], count: str, delta: DataFrame, version: str) -> None:
-        """Adds the deltas to the buckets that have one."""
-        where = f"{self.path}/delta-{kind}/{version}"
-        delta.write.parquet(where)
-        delta = self.spark.read.schema(delta.schema).parquet(where)
-        touched = [r[0] for r in delta.select("bucket").distinct().collect()]
+        marginals = signed.select(F.explode("items").alias("item"), "w").groupBy("item").agg(F.sum("w").alias("d")).filter("d <> 0")
+        changed = f"{self.path}/changed/{version}"
+        marginals.write.parquet(changed)
+        following["changed"] = version
+        self._merge("items", self.spark.read.schema("item string, d bigint").parquet(changed), version, first, following)
+        pairs = self._pairs(signed).groupBy("item_a", "item_b").agg(F.sum("w").alias("d")).filter("d <> 0")
+        self._merge("pairs", pairs if first else work.cut(pairs), version, first, following)
+        following["baskets_total"] += int(grown)
+        following["version"] += 1
+        self._save(following)
+        delete(self.spark, work.base)
+
+    def _merge(self, kind: str, delta: DataFrame, version: str, first: bool, into: dict) -> None:
+        """Adds the deltas to the buckets that have one; a first load has nothing to add to and is written as it is summed."""
+        key, count = self.KINDS[kind][1], "n_ab" if kind == "pairs" else "n"
+        rows = delta.select(*key, F.col("d").alias(count))
+        if first:
+            self._write(kind, rows, list(range(self.buckets)), version, into)
+            return
+        touched = [r[0] for r in rows.select(self._bucket(kind).alias("b")).distinct().collect()]
         if not touched:
             return
-        rows = delta.withColumnRenamed("d", count)
-        if any(str(b) in self.manifest[kind] for b in touched):
-            rows = self._read(kind, touched).unionByName(rows).groupBy(*key, "bucket").agg(F.sum(count).alias(count)).filter(F.col(count) > 0)
-        self._write(kind, rows, touched, version)
+        rows = self._read(kind, touched).select(*key, count).unionByName(rows).groupBy(*key).agg(F.sum(count).alias(count)).filter(F.col(count) > 0)
+        self._write(kind, rows, touched, version, into)
+
+    @property
+    def changed_items(self) -> DataFrame | None:
+        """The items whose count the last apply moved; kept with the table, so it holds after a reopening too."""
+        version = self.manifest["changed"]
+        return self.spark.read.schema("item string, d bigint").parquet(f"{self.path}/changed/{version}").select("item") if version else None
 
     @property
     def n_baskets(self) -> int:
@@ -149,13 +179,15 @@ class PairTable:
     def scores(self, min_count: int = 1, affected_only: bool = False, small_items: int = 200_000) -> DataFrame:
         """(item_a, item_b, n_ab, n_a, n_b, n_baskets, lift, pmi) of the pairs with n_ab >= min_count.
 
-        affected_only: those with an item whose count the last apply moved. The items go to every task only up to `small_items` of them; beyond, the join
+        affected_only: those with an item whose count the last apply moved, which are all whose own counts moved. The items go to every task only up to `small_items` of them; beyond, the join
         shuffles, and no item has more pairs than there are items.
         """
         items = self.items()
         pairs = self.pairs().filter(F.col("n_ab") >= min_count)
-        if affected_only and self.changed_items is not None:
+        if affected_only:
             mine = self.changed_items
+            if mine is None:
+                mine = self.spark.createDataFrame([], "item string")
             either = pairs.join(mine.withColumnRenamed("item", "item_a"), "item_a", "left_semi").union(pairs.join(mine.withColumnRenamed("item", "item_b"), "item_b", "left_semi").select("item_a", "item_b", "n_ab"))
             pairs = either.distinct()
         if items.limit(small_items + 1).count() <= small_items:
@@ -167,4 +199,5 @@ class PairTable:
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_root(spark)}/pair-table-{uuid.uuid4().hex}"
+    """A folder for a pair table that is only kept until the driver exits."""
+    return keep_until_exit(spark, f"{shared_root(spark)}/pair-table-{uuid.uuid4().hex}")

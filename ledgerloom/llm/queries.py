@@ -41,6 +41,10 @@ def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_table(spark, sf_dir).scores(min_count=5)
 
 
+def p1_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_table(spark, sf_dir).scores(min_count=5, affected_only=True)
+
+
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.concat(F.array("uid", "canonical"), F.coalesce("clusters", F.array().cast("array<string>")))
     return groups.consolidate(table(spark, sf_dir, "dedup_result"), F.transform(named, lambda x: F.regexp_replace(x, _BLANKS, "")))
@@ -136,12 +140,16 @@ _RUNS = r"""WITH w AS (SELECT 'd' AS k, doc_id AS id, list_transform(regexp_extr
 g AS (SELECT DISTINCT k, id, array_to_string(l[i:i + 11], ' ') AS s FROM (SELECT k, id, l, unnest(range(1, len(l) - 10)) AS i FROM w WHERE len(l) >= 12)),
 hit AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.s = i.s AND d.k = 'd' AND i.k = 'i')"""
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_sizes": p2_sizes, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_runs": p6_runs, "p6_items": p6_items, "p6_clean": p6_clean, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_affected": p1_affected, "p2_found": p2_found, "p2_sizes": p2_sizes, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_runs": p6_runs, "p6_items": p6_items, "p6_clean": p6_clean, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
 ORACLE = {
     "p6_found": f"{_RUNS} SELECT doc_id, item_id FROM hit",
     "p6_clean": f"{_RUNS} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)",
     "p1_found": f"WITH {_ITEMS} SELECT item_a, item_b FROM scored WHERE 1000 * n_ab >= n_baskets AND n_ab * n_baskets >= 3 * n_a * n_b",
     "p1_scores": f"WITH {_ITEMS} SELECT *, n_ab * n_baskets / (CAST(n_a AS DOUBLE) * n_b) AS lift, ln(n_ab * n_baskets / (CAST(n_a AS DOUBLE) * n_b)) AS pmi FROM scored",
+    "p1_affected": f"""WITH {_ITEMS},
+late AS (SELECT id FROM paper_graph_overlay WHERE kind = 'paper' AND id IS NOT NULL GROUP BY 1 HAVING min(CASE WHEN ingested_at <= updated + INTERVAL 7 DAY THEN 0 ELSE 1 END) = 1),
+moved AS (SELECT DISTINCT item FROM held JOIN late USING (id))
+SELECT *, n_ab * n_baskets / (CAST(n_a AS DOUBLE) * n_b) AS lift, ln(n_ab * n_baskets / (CAST(n_a AS DOUBLE) * n_b)) AS pmi FROM scored WHERE item_a IN (FROM moved) OR item_b IN (FROM moved)""",
     "p2_found": f"WITH RECURSIVE {_GROUPS} SELECT u AS uid, g AS group_id FROM lab",
     "p2_sizes": f"WITH RECURSIVE {_GROUPS} SELECT g AS group_id, count(*) AS n_records FROM lab GROUP BY 1",
 }

@@ -45,8 +45,37 @@ def test_pair_table_follows_changes(spark):
     for r in again.scores().collect():
         assert (r.n_ab, r.n_a, r.n_b, r.n_baskets) == (pairs[r.item_a, r.item_b], items[r.item_a], items[r.item_b], n)
         assert r.lift == pytest.approx(r.n_ab * n / (r.n_a * r.n_b))
-    touched = {r.item for r in t.changed_items.collect()} if t.changed_items else set()
-    assert all(r.item_a in touched or r.item_b in touched for r in t.scores(affected_only=True).collect())
+    touched = {r.item for r in again.changed_items.collect()}
+    assert touched == set()  # the last apply moved nothing
+    t.apply(frame({"b5": ["i0", "i1", "z"]}))
+    moved = set(now["b5"]) ^ {"i0", "i1", "z"}
+    now["b5"] = ["i0", "i1", "z"]
+    reopened = PairTable(spark, t.path)
+    assert {r.item for r in reopened.changed_items.collect()} == moved and state(reopened) == brute(now)
+    got = {(r.item_a, r.item_b) for r in reopened.scores(affected_only=True).collect()}
+    assert got == {p for p in brute(now)[1] if moved & set(p)}
+
+
+def test_a_failed_apply_changes_nothing(spark):
+    frame = lambda d: spark.createDataFrame(list(d.items()), "basket string, items array<string>")
+    t = PairTable(spark, new_folder(spark), buckets=4)
+    now = {"a": ["x", "y"], "b": ["x", "y", "z"]}
+    t.apply(frame(now))
+    broken = PairTable(spark, t.path)
+    broken._save = lambda manifest: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        broken.apply(frame({"a": ["q"]}))
+    for k in range(4):  # superseded versions go, the current state stays
+        again = PairTable(spark, t.path)
+        assert state(again) == brute(now) and again.n_baskets == len(now)
+        now[f"n{k}"] = [f"k{k}", "x"]
+        again.apply(frame({f"n{k}": now[f"n{k}"]}))
+    from pathlib import Path
+
+    folder = Path(t.path.removeprefix("file://"))
+    held = PairTable(spark, t.path)
+    named = {v for m in (held.manifest, held._former) for k in PairTable.KINDS for v in m[k].values()} | {m["changed"] for m in (held.manifest, held._former)}
+    assert {p.name for kind in (*PairTable.KINDS, "changed") for p in (folder / kind).iterdir()} <= named
 
 
 def test_pair_table_empty_and_null(spark):
@@ -58,7 +87,7 @@ def test_pair_table_empty_and_null(spark):
 
 def test_pairs_of_an_oversized_basket_are_sliced(spark):
     big = spark.createDataFrame([([f"w{k:04}" for k in range(300)], 1)], "items array<string>, w int")
-    got = PairTable._pairs(big, slice_items=64)
+    got = PairTable._pairs(big, block=64)
     assert got.count() == got.distinct().count() == 300 * 299 // 2
     assert got.filter("item_a >= item_b").count() == 0
 
