@@ -7,6 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from ..session import table
 from . import groups, leaks, mixing, neardup, pairs, pii
 
@@ -24,7 +25,7 @@ def _overlay_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_table(spark: SparkSession, sf_dir: str) -> pairs.PairTable:
     """The pair table of the overlay: the papers that came in time first, then the late ones as a change."""
     held = pairs.PairTable(spark, pairs.new_folder(spark))
-    baskets = _overlay_baskets(spark, sf_dir)
+    baskets = Scratch(spark, "baskets").cut(_overlay_baskets(spark, sf_dir))
     held.apply(baskets.filter(~F.col("late")))
     held.apply(baskets.filter(F.col("late")))
     return held
