@@ -109,12 +109,14 @@ class Mixture:
     proportions. Empty input gives an empty mixture.
 
     Each text has a uniform number from a hash of its fingerprint and the seed; its count is the inverse of a Poisson distribution at that number, cut at max_repeats. The rate of a source is
-    set so that its counts use share x total tokens: total is the largest for which no source needs more than max_repeats uses of every text, or total_tokens,
-    beyond which sources run out and the reported shares differ from the targets. Documents are exploded by their counts and ordered by a hash.
+    set so that its counts use share x total tokens. total is `fill` times the tokens at which the tightest source would use every text max_repeats times, so the counts of that source
+    are drawn too; or total_tokens, beyond which sources run out and the reported shares differ from the targets. Documents are exploded by their counts and ordered by a hash.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", seed: int = 7, total_tokens: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 10_000):
+    def __init__(self, documents: DataFrame, targets: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", seed: int = 7, total_tokens: float | None = None, fill: float = 0.9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 10_000):
         self.spark = documents.sparkSession
+        if not 0 < fill <= 1:
+            raise ValueError("fill is above 0 and at most 1")
         self.scratch = Scratch(self.spark, "mixing")
         self.id_col, self.seed = id_col, seed
         rows = targets.select("source", "target_share", "max_repeats").filter("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").limit(max_sources + 1).collect()
@@ -136,7 +138,7 @@ class Mixture:
         held = {s: sum(b.values()) for s, b in bins.items()}
         room = [held[s] * cap / share for s, (share, cap) in self.targets.items() if held[s]]
         share_there = sum(share for s, (share, _) in self.targets.items() if held[s]) or 1.0
-        total = total_tokens / share_there if total_tokens is not None else min(room, default=0.0)
+        total = total_tokens / share_there if total_tokens is not None else fill * min(room, default=0.0)
         self.rates = {s: solve_rate(bins[s], cap, share * total) for s, (share, cap) in self.targets.items()}
         self.held = held
 

@@ -141,9 +141,39 @@ _RUNS = r"""WITH w AS (SELECT 'd' AS k, doc_id AS id, list_transform(regexp_extr
 g AS (SELECT DISTINCT k, id, array_to_string(l[i:i + 11], ' ') AS s FROM (SELECT k, id, l, unnest(range(1, len(l) - 10)) AS i FROM w WHERE len(l) >= 12)),
 hit AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.s = i.s AND d.k = 'd' AND i.k = 'i')"""
 
+_PLACES = r"""WITH w AS (SELECT 'd' AS k, doc_id AS id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS l FROM documents
+  UNION ALL SELECT 'i', item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) FROM eval_items),
+g AS (SELECT k, id, i, array_to_string(l[i:i + 11], ' ') AS s FROM (SELECT k, id, l, unnest(range(1, len(l) - 10)) AS i FROM w WHERE len(l) >= 12)),
+met AS (SELECT d.id AS doc_id, i.id AS item_id, d.i AS x, i.i AS y FROM g d JOIN g i ON d.s = i.s AND d.k = 'd' AND i.k = 'i'),
+isle AS (SELECT *, x - row_number() OVER (PARTITION BY doc_id, item_id, x - y ORDER BY x) AS part FROM met),
+run AS (SELECT doc_id, item_id, count(*) + 11 AS run_words, min(x) - 1 AS doc_word, min(y) - 1 AS item_word FROM isle GROUP BY doc_id, item_id, x - y, part),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY run_words DESC, doc_word, item_word) = 1)"""
+
+_SIMILAR = r"""rows AS (SELECT uid, list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(title, ''), '[\p{L}\p{N}]+') || regexp_extract_all(abstract, '[\p{L}\p{N}]+'), lambda x: lower(x)))) AS w
+  FROM papers WHERE uid IS NOT NULL AND len(regexp_extract_all(abstract, '[\p{L}\p{N}]+')) >= 20),
+cls AS (SELECT w, len(w) AS n, row_number() OVER () AS c FROM (SELECT DISTINCT w FROM rows)),
+own AS (SELECT DISTINCT uid, c FROM rows JOIN cls USING (w)),
+each AS (SELECT c, n, unnest(w) AS x FROM cls),
+met AS (SELECT a.c AS a, b.c AS b, count(*) AS k, a.n AS na, b.n AS nb FROM each a JOIN each b ON a.x = b.x AND a.c < b.c AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n GROUP BY ALL),
+sim AS (SELECT a, b FROM met WHERE 4 * k >= 3 * (na + nb - k))"""
+
 QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_affected": p1_affected, "p2_found": p2_found, "p2_sizes": p2_sizes, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_runs": p6_runs, "p6_items": p6_items, "p6_clean": p6_clean, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
 ORACLE = {
     "p6_found": f"{_RUNS} SELECT doc_id, item_id FROM hit",
+    "p5_found": f"""WITH {_SIMILAR}
+SELECT DISTINCT least(x.uid, y.uid) AS uid_a, greatest(x.uid, y.uid) AS uid_b FROM (SELECT a, b FROM sim UNION ALL SELECT c, c FROM cls) JOIN own x ON x.c = a JOIN own y ON y.c = b WHERE x.uid <> y.uid""",
+    "p5_groups": f"""WITH RECURSIVE {_SIMILAR},
+near AS (SELECT a, b FROM sim UNION ALL SELECT b, a FROM sim UNION ALL SELECT c, c FROM cls),
+tie AS (SELECT DISTINCT x.uid AS u, y.uid AS v FROM near JOIN own x ON x.c = a JOIN own y ON y.c = b),
+lab(u, g) USING KEY (u) AS (
+  SELECT u, min(v) FROM tie GROUP BY u
+  UNION
+  SELECT t.u, min(l.g) FROM tie t JOIN lab l ON l.u = t.v JOIN recurring.lab o ON o.u = t.u GROUP BY t.u, o.g HAVING min(l.g) < o.g
+),
+ends AS (SELECT c, count(*) AS n FROM (SELECT a AS c FROM sim UNION ALL SELECT b FROM sim) GROUP BY 1)
+SELECT lab.u AS uid, min(g) AS group_id, max(coalesce(n, 0)) AS n_links FROM lab JOIN own ON own.uid = lab.u LEFT JOIN ends USING (c) GROUP BY 1""",
+    "p6_runs": f"{_PLACES} SELECT doc_id, item_id, run_words, doc_word, item_word FROM best",
+    "p6_items": f"{_PLACES} SELECT item_id, count(DISTINCT doc_id) AS n_documents, max(run_words) AS longest_run FROM best GROUP BY 1",
     "p6_clean": f"{_RUNS} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)",
     "p1_found": f"WITH {_ITEMS} SELECT item_a, item_b FROM scored WHERE 1000 * n_ab >= n_baskets AND n_ab * n_baskets >= 3 * n_a * n_b",
     "p1_scores": f"WITH {_ITEMS} SELECT *, n_ab * n_baskets / (CAST(n_a AS DOUBLE) * n_b) AS lift, ln(n_ab * n_baskets / (CAST(n_a AS DOUBLE) * n_b)) AS pmi FROM scored",

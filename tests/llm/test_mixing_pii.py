@@ -31,6 +31,8 @@ def test_mixture(spark):
     for s, want in (("a", 0.5), ("b", 0.3), ("c", 0.2)):
         assert shares[s].share == pytest.approx(want, abs=0.04)
     assert [tuple(r) for r in used] == [tuple(r) for r in mixing.Mixture(docs, targets).mixed().collect()]  # the same each time
+    assert all(0 < r < math.inf for r in m.rates.values())  # counts of the tightest source are drawn too
+    assert len({r.repeat for r in used if r.source == "b"}) > 1 and shares["b"].texts_used < shares["b"].texts_held
     # copies of a text are one text
     assert len({text[r.doc_id] for r in used}) == len({r.doc_id for r in used})
     over = mixing.Mixture(docs, targets, total_tokens=10**9)
