@@ -16,6 +16,8 @@ LOOP, BELOW_LOOP = "(loop)", "(below loop)"
 
 #: Components of up to so many links are peeled whole inside one task; larger ones are peeled by joins, level by level.
 TASK_LINKS = 50_000
+#: Nor is a component peeled in one task with more than so many pairs of a node and a root of it.
+TASK_CELLS = 2_000_000
 
 
 class Peeled:
@@ -194,11 +196,13 @@ def _in_tasks(links: DataFrame, what: str) -> DataFrame:
         def solved(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             all_links = pd.concat(parts) if len(parts) > 1 else parts[0]
             rows: list[tuple] = []
+            size = 0
             for row in getattr(Peeled(all_links["child"].tolist(), all_links["parent"].tolist()), f"{what}_rows")():
                 rows.append(row)
-                if len(rows) >= 20_000:
+                size += 1 + (len(row[4] or ()) if what == "node" else 0)  # paths count with their length
+                if size >= 20_000:
                     yield pd.DataFrame(rows, columns=columns)
-                    rows = []
+                    rows, size = [], 0
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 
@@ -232,11 +236,11 @@ class Hierarchy:
 
     Leaves (nodes without children left) are peeled round by round and send their descendant lists to their parents; in reverse
     peel order depths, roots and paths go down again; what cannot be peeled has a loop below it. A connected component of at most
-    `task_links` links is peeled whole inside one task; a larger one by joins with a written table per round, so no task holds more
-    than that bound of links.
+    `task_links` links and `task_cells` pairs of a node and a root is peeled whole inside one task; a larger one by joins with a written table per round, so no task holds more
+    than that. Both ways give the same rows: of ways to a root the shortest counts, and of those of one length that over the smallest parent.
     """
 
-    def __init__(self, rows: DataFrame, id_col: str, parents_col: str, task_links: int = TASK_LINKS):
+    def __init__(self, rows: DataFrame, id_col: str, parents_col: str, task_links: int = TASK_LINKS, task_cells: int = TASK_CELLS):
         self.spark = rows.sparkSession
         self.scratch = Scratch(self.spark, "hierarchy")
         parents = F.col(parents_col)
@@ -249,7 +253,11 @@ class Hierarchy:
         # a component that is a single node with a link to itself has no edge, and is its own component
         tied = self.links.join(parts.withColumnRenamed("id", "child"), "child", "left").withColumn("component", F.coalesce("component", "child"))
         tied = self.scratch.cut(tied)
-        big = self.scratch.cut(tied.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_links).select("component"))
+        # a component has no more roots than links, so only those of many links can have too many pairs
+        wide = self.scratch.cut(tied.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > task_links) | (F.col("n") * (F.col("n") + 1) > task_cells)))
+        tops = tied.join(wide.select("component"), "component", "left_semi").select("component", F.col("parent").alias("id")).distinct().join(tied.select(F.col("child").alias("id")), "id", "left_anti").groupBy("component").agg(F.count(F.lit(1)).alias("roots"))
+        over = wide.join(tops, "component", "left").filter((F.col("n") > task_links) | ((F.col("n") + 1) * F.col("roots") > task_cells)).select("component")
+        big = self.scratch.cut(over) if not wide.isEmpty() else wide.select("component")
         self.any_big = not big.isEmpty()
         self.small = tied.join(big, "component", "left_anti") if self.any_big else tied
         self.large = self.scratch.cut(tied.join(big, "component", "left_semi").select("child", "parent")) if self.any_big else None
@@ -343,8 +351,9 @@ class Hierarchy:
         within = leveled.filter(F.col("level").isNull()).select("child", "parent")
 
         def down(edges: DataFrame, got: DataFrame) -> DataFrame:
-            reached = edges.join(got.withColumnRenamed("id", "parent"), "parent").select(F.col("child").alias("id"), "root_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child")).alias("path"))
-            return reached.groupBy("id", "root_id").agg(F.min(F.struct("depth", "path")).alias("m")).select("id", "root_id", "m.depth", "m.path")
+            reached = edges.join(got.withColumnRenamed("id", "parent"), "parent").select(F.col("child").alias("id"), "root_id", (F.col("depth") + 1).alias("depth"), "parent", F.concat("path", F.array("child")).alias("path"))
+            # of ways of the same length that over the smallest parent, as in a task
+            return reached.groupBy("id", "root_id").agg(F.min(F.struct("depth", "parent", "path")).alias("m")).select("id", "root_id", "m.depth", "m.path")
 
         rings = self._grow("depths", start, lambda ring: down(within, ring), cycles=True)
         base, schema = f"{self.scratch.base}/levels", rings.schema

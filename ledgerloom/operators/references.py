@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .skew import FLOOR_ROWS, join_hot
@@ -13,15 +11,6 @@ from .skew import FLOOR_ROWS, join_hot
 MATCHES = ("simple", "full", "partial", "identical")
 
 
-def _masked_key(columns: list[str], mask: Column) -> Column:
-    """One string for the columns that the mask leaves: each with its length, so that no two keys share a string."""
-    parts = [
-        F.when(mask.bitwiseAND(1 << i) != 0, F.lit("-")).otherwise(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")))
-        for i, c in enumerate(columns)
-    ]
-    return F.concat_ws("|", mask.cast("string"), *parts)
-
-
 def orphan_references(references: DataFrame, targets: DataFrame, keys: list[tuple[str, str]], match: str = "simple", time: str | None = None, arrives: str | None = None, removed: str | None = None, floor: int = FLOOR_ROWS) -> DataFrame:
     """The rows of references whose composite key has no living target, with `status` and `null_mask`.
 
@@ -35,8 +24,9 @@ def orphan_references(references: DataFrame, targets: DataFrame, keys: list[tupl
     means always there. Repeated references stay repeated; repeated targets count once. Empty references give no rows; empty targets
     leave every checked reference missing. Other columns of references pass through; those of targets are not looked at.
 
-    The targets are pre-aggregated by mask and key; there are at most 2^k masks, found among the references. References of a target that is cited by a large part of all rows
-    take the broadcast side of join_hot.
+    There are at most 2^k masks, found among the references. For each, the targets are pre-aggregated by the non-null columns; an anti-join on those columns gives the missing references, and
+    where times are given a join on them the deleted and late ones. References of a target that is cited by a large part of all rows
+    take the broadcast side of join_hot. The references are read once per mask and join, so they should be a written table.
     """
     if match not in MATCHES:
         raise ValueError(f"match is one of {MATCHES}")
@@ -48,30 +38,54 @@ def orphan_references(references: DataFrame, targets: DataFrame, keys: list[tupl
         r = r.filter(F.col("null_mask") == 0)
     elif match in ("full", "partial"):
         r = r.filter(F.col("null_mask") != all_null)
-    r = r.withColumn("_key", _masked_key(refs, F.col("null_mask")))
     own = sum((F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(owned)), F.lit(0)).cast("int")
     t = targets.select(*[F.col(b).alias(f"_t{i}") for i, b in enumerate(owned)], own.alias("_own"), *([F.col(arrives).alias("_arrives")] if arrives else []), *([F.col(removed).alias("_removed")] if removed else []))
-    if match == "partial":  # a target serves every mask whose non-null columns it has
-        masks = [sum(1 << i for i in c) for n in range(k) for c in combinations(range(k), n)]
-        t = t.withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in masks]))).filter(F.col("_own").bitwiseAND(F.col("_mask")) == F.col("_own"))
-    else:
-        t = t.withColumn("_mask", F.col("_own"))
-        if match != "identical":
-            t = t.filter(F.col("_mask") == 0)
-    t = t.withColumn("_key", _masked_key([f"_t{i}" for i in range(k)], F.col("_mask")))
-    found = [F.lit(True).alias("_there")]
+    found = []
     if arrives:
         found.append(F.when(F.count("_arrives") == F.count(F.lit(1)), F.min("_arrives")).alias("_arrives"))
     if removed:
         found.append(F.when(F.count("_removed") == F.count(F.lit(1)), F.max("_removed")).alias("_removed"))
-    t = t.groupBy("_key").agg(*found)
-    joined = join_hot(r, t, "_key", "left", floor=floor) if floor else r.join(t, "_key", "left")
-    status = F.when(F.col("_there").isNull(), F.lit("missing"))
+    sizes = {row[0]: row[1] for row in r.groupBy("null_mask").agg(F.count(F.lit(1))).collect()}  # at most 2^k rows
+    out = r.withColumn("status", F.lit("missing")).filter(F.lit(False))
+    for m, n in sorted(sizes.items()):
+        given = [i for i in range(k) if not m >> i & 1]
+        mine = r.filter(F.col("null_mask") == m)
+        if match == "partial":  # a target serves every mask whose non-null columns it has
+            able = t.filter(F.col("_own").bitwiseAND(F.lit(all_null ^ m)) == 0)
+        else:
+            able = t.filter(F.col("_own") == m) if match == "identical" or m == 0 else t.filter(F.lit(False))
+        if not given:  # all null, with match identical: any target of nulls only is the same
+            there = able.agg(F.count(F.lit(1)).alias("_n"), *found).first()
+            if not there["_n"]:
+                out = out.unionByName(mine.withColumn("status", F.lit("missing")))
+            else:
+                held = mine
+                for c in (c for c in ("_arrives", "_removed") if c in there):
+                    held = held.withColumn(c, F.lit(there[c]))
+                out = out.unionByName(_unliving(held, time, arrives, removed).select(*out.columns))
+            continue
+        keys = [f"_k{i}" for i in given]
+        mine = mine.select("*", *[F.col(refs[i]).alias(f"_k{i}") for i in given])
+        able = able.groupBy(*[F.col(f"_t{i}").alias(f"_k{i}") for i in given]).agg(*(found or [F.lit(True).alias("_there")]))
+        hot = {"rows": n, "floor": floor or n + 1}
+        missing = join_hot(mine, able.select(*keys), keys, "left_anti", **hot).withColumn("status", F.lit("missing"))
+        out = out.unionByName(missing.select(*out.columns))
+        if time and (removed or arrives):
+            # a target that is always there makes no reference deleted or late, so only the others are met
+            stale = able.filter(F.greatest(*[F.col(c).isNotNull().cast("int") for c in (["_arrives"] if arrives else []) + (["_removed"] if removed else [])], F.lit(0)) == 1)
+            met = _unliving(join_hot(mine, stale, keys, "inner", **hot), time, arrives, removed)
+            out = out.unionByName(met.select(*out.columns))
+    return out
+
+
+def _unliving(met: DataFrame, time: str | None, arrives: str | None, removed: str | None) -> DataFrame:
+    """References that met a target, where that was removed by then or arrives later."""
+    status = F.when(F.lit(False), F.lit("missing"))
     if time and removed:
         status = status.when(F.col("_removed") <= F.col(time), F.lit("deleted"))
     if time and arrives:
         status = status.when(F.col("_arrives") > F.col(time), F.lit("late"))
-    return joined.withColumn("status", status).filter(F.col("status").isNotNull()).drop("_key", "_there", "_arrives", "_removed")
+    return met.withColumn("status", status).filter(F.col("status").isNotNull())
 
 
 def per_period(orphans: DataFrame, by: list[str], time: str) -> DataFrame:

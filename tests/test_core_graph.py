@@ -99,6 +99,17 @@ def test_hierarchy_by_tasks_and_by_joins(spark, seed, task_links):
         assert r["in_loop"] == ((n, "(loop)", -1) in roots) and r["below_loop"] == ((n, "(below loop)", -1) in roots)
 
 
+def test_both_ways_give_the_same_nodes(spark):
+    """Ties between ways of one length, several roots, loops: by tasks, by joins, and by the bound on pairs of nodes and roots."""
+    rng = random.Random(3)
+    ids = [f"t{k * 37 % 60:02}" for k in range(60)]
+    named = [(i, rng.sample(ids[:k], min(k, rng.choice([0, 1, 2, 3])))) for k, i in enumerate(ids)] + [("r", None), ("a", ["r"]), ("z", ["r"]), ("p1", ["z"]), ("p2", ["a"]), ("n", ["p1", "p2"]), ("o1", ["o2"]), ("o2", ["o1", "t05"])]
+    df = spark.createDataFrame(named, "id string, parents array<string>")
+    every = [rows(Hierarchy(df, "id", "parents", **how).nodes()) for how in ({}, {"task_links": 0}, {"task_cells": 3})]
+    assert every[0] == every[1] == every[2]
+    assert next(r for r in every[0] if r[0] == "n")[4] == ("r", "z", "p1", "n")
+
+
 def test_hierarchy_empty_and_scalar_parent(spark):
     empty = Hierarchy(spark.createDataFrame([], "id string, p array<string>"), "id", "p")
     assert rows(empty.roots()) == rows(empty.nodes()) == rows(empty.descendants()) == []
@@ -121,6 +132,15 @@ def test_orphans_by_null_mask(spark):
         orphan_references(refs, targets, keys, "other")
 
 
+@pytest.mark.parametrize("floor", [0, 1])
+def test_orphans_of_a_hot_composite_key(spark, floor):
+    refs = spark.createDataFrame([(k, "a", 1) for k in range(500)] + [(500 + k, "b", k) for k in range(100)] + [(700, "a", None)], "r int, x string, y int")
+    targets = spark.createDataFrame([("b", k, 3) for k in range(50)] + [("a", 1, 9)], "x string, y int, at int")
+    got = orphan_references(refs.withColumn("t", F.lit(5)), targets, [("x", "x"), ("y", "y")], time="t", arrives="at", floor=floor)
+    kinds = {(r["status"], r["n"]) for r in got.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert kinds == {("late", 500), ("missing", 50)}
+
+
 def test_orphan_times(spark):
     refs = spark.createDataFrame([("r1", "a", 5), ("r2", "a", 1), ("r3", "b", 9), ("r4", "c", None), ("r5", "nope", None)], "r string, k string, t int")
     targets = spark.createDataFrame([("a", 3, None), ("b", 1, 7), ("c", 1, 1)], "id string, at int, gone int")
