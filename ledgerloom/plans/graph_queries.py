@@ -116,7 +116,12 @@ _KEYS = r"""keyed AS (SELECT uid, 'arxiv' AS reason, nullif(trim(regexp_replace(
   UNION ALL SELECT uid, 'doi', nullif(trim(regexp_replace(regexp_replace(lower(trim(doi)), '^(https?://)?(dx\.)?doi\.org/', ''), '^doi:\s*', '')), '') FROM papers
   UNION ALL SELECT uid, 'title', nullif(array_to_string(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+'), lambda t: t NOT IN ('a','an','and','for','from','in','of','on','the','to','with')), ' '), '') FROM papers),
 firsts AS (SELECT reason, k, min(uid) AS f FROM keyed WHERE k IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT uid) > 1),
-links AS (SELECT DISTINCT f AS src, uid AS dst, reason FROM keyed JOIN firsts USING (reason, k) WHERE uid <> f)"""
+named AS (SELECT k, min(uid) AS u, list_sort(list_distinct(string_split(k, ' '))) AS w FROM keyed WHERE reason = 'title' AND k IS NOT NULL GROUP BY k),
+sets AS (SELECT w, min(u) AS r FROM named GROUP BY 1),
+tok AS (SELECT r, len(w) AS n, unnest(w) AS x FROM sets),
+fuzzy AS (SELECT r AS src, u AS dst FROM named JOIN sets USING (w) WHERE u <> r
+  UNION ALL SELECT a.r, b.r FROM tok a JOIN tok b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n HAVING 10 * count(*) >= 7 * (a.n + b.n - count(*))),
+links AS (SELECT DISTINCT f AS src, uid AS dst, reason FROM keyed JOIN firsts USING (reason, k) WHERE uid <> f UNION ALL SELECT src, dst, 'fuzzy' FROM fuzzy)"""
 ORACLE = {
     "citation_edges": f"WITH {_REFS} SELECT src, dst FROM cites",
     "dangling_references": f"WITH {_REFS} SELECT src, dst AS ref FROM refs WHERE dst NOT IN (SELECT id FROM papers)",

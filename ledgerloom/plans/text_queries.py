@@ -133,7 +133,7 @@ FROM (SELECT id, arg_min({{'uid': uid, 'title': title, 'abstract': abstract, 'au
     "bm25_topk": f"WITH {_POSTS} {_TOP.format('bm')}",
     "grep_topk": f"WITH {_POSTS} {_TOP.format('gr')}",
     "tfidf_topk": f"WITH {_TFIDF}, sc AS (SELECT doc_id, sum(weight) / sqrt({len(R.query_terms(QUERY))}) AS score FROM weights WHERE term IN (SELECT unnest({_WORDS})) GROUP BY 1) SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS place FROM sc WHERE score > 0 ORDER BY place LIMIT 20",
-    "rrf_topk": f"WITH {_POSTS}, ranks AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM bm UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM gr), fused AS (SELECT id, sum(1.0 / (60 + r)) AS score FROM ranks WHERE r <= 1000 GROUP BY 1) {_TOP.format('fused')}",
+    "rrf_topk": f"WITH {_POSTS}, ranks AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM bm UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM gr), fused AS (SELECT id, sum(1.0 / (60 + r)) AS score FROM ranks GROUP BY 1) {_TOP.format('fused')}",
     "number_census": r"SELECT kind, number, count(*) AS n FROM (SELECT kind, unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?')) AS number FROM documents) GROUP BY 1, 2",
     "entity_mentions": f"SELECT * FROM (SELECT doc_id, contains(' ' || array_to_string({_TOK.format('text', 1)}, ' ') || ' ', ' copper foam ') AS has_entity, coalesce(TRY_CAST(list_filter(regexp_extract_all(text, '[0-9]{{4}}'), lambda y: CAST(y AS INT) BETWEEN 1500 AND 2100)[1] AS INT), 0) AS first_year FROM documents) WHERE has_entity OR first_year > 0",
 }
