@@ -38,7 +38,7 @@ def uncovered_number(claim: Column, source: Column) -> Column:
 
 def negation_suspect(claim: Column, source: Column) -> Column:
     """Whether the first word of denial in the claim does not occur in the source."""
-    first = F.element_at(F.filter(bare_words(claim), lambda w: w.isin(*NEGATIONS)), 1)
+    first = F.get(F.filter(bare_words(claim), lambda w: w.isin(*NEGATIONS)), 0)
     return F.coalesce(~F.contains(F.lower(F.coalesce(source, F.lit(""))), first), F.lit(False))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,3 +99,34 @@ def slug(name: Column) -> Column:
 def fold(text: Column) -> Column:
     """Lower case with the diacritics of Latin letters dropped."""
     return F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
+
+
+def at_path(doc: Column, path: str) -> Column:
+    """The value at a dotted path of a JSON text, as text; a step of digits is a place in a list. Null where the path leads nowhere or the text is no JSON."""
+    steps = "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in path.split("."))
+    return F.get_json_object(doc, "$" + steps)
+
+
+def flat_numbers(doc: Column) -> Column:
+    """All numbers of a JSON text as (path, number), with dotted paths to any depth; texts that are no JSON have none. Depth is not known beforehand, so no built-in expression can say it: batches of texts go through Arrow."""
+    @F.pandas_udf("array<struct<path:string,number:double>>")
+    def walk(texts: pd.Series) -> pd.Series:
+        def of(text: str | None) -> list:
+            try:
+                todo = [("", json.loads(text))] if text else []
+            except ValueError:
+                return []
+            out = []
+            while todo:
+                path, x = todo.pop()
+                if isinstance(x, dict):
+                    todo += [(f"{path}.{k}" if path else k, v) for k, v in x.items()]
+                elif isinstance(x, list):
+                    todo += [(f"{path}.{i}" if path else str(i), v) for i, v in enumerate(x)]
+                elif isinstance(x, int | float) and not isinstance(x, bool):
+                    out.append({"path": path, "number": float(x)})
+            return sorted(out, key=lambda r: r["path"])
+
+        return texts.map(of, na_action=None)
+
+    return walk(doc)

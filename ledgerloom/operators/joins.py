@@ -19,7 +19,8 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: st
         raise ValueError(f"rename {sorted(both)} of the right side")
     keyed = [F.col(k) for k in keys]
     usable = right.filter(F.col(right_time).isNotNull()).dropna(subset=keys)
-    seconds = lambda c: F.col(c).cast("double")
+    is_time = dict(right.dtypes)[right_time].startswith("timestamp")
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double") if is_time else F.col(c).cast("double")
     bounds = usable.agg(F.min(seconds(right_time)).alias("_low"), F.max(seconds(right_time)).alias("_high"))
 
     def slotted(df: DataFrame, time: str) -> DataFrame:
