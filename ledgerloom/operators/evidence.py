@@ -91,15 +91,16 @@ def stress_points(claims: DataFrame, slices: int = 8) -> DataFrame:
     return met.select("subject", "object", "plus", "minus", "n_plus", "n_minus", F.when(together, "CONTRADICTION").otherwise("BOUNDARY").alias("kind"), F.when(~together, boxes.gap_point(F.col("x"), F.col("y"))).alias("point"))
 
 
-def inferred_links(beliefs: DataFrame, transitivity: float = 0.9, least: float = 0.5) -> DataFrame:
+def inferred_links(beliefs: DataFrame, transitivity: float = 0.9, least: float = 0.5, slices: int = 8) -> DataFrame:
     """(subject, via, object, sign, p): chains of two believed relations where the ends have no belief of their own. p = t pa pb, sign the product of the signs.
 
-    beliefs: (subject, object, p_plus). Relations with p_plus of exactly 1/2 abstain. Concepts, not claims, are joined, so the chains are bounded by the concept graph.
+    beliefs: (subject, object, p_plus). Relations with p_plus of exactly 1/2 abstain. Concepts, not claims, are joined, so the chains are bounded by the concept graph; relations too weak for any chain
+    go before the join, and a concept that many chains pass is met in slices, each of the first legs in one, the second legs in all.
     """
-    b = beliefs.filter("p_plus <> 0.5").select("subject", "object", F.when(F.col("p_plus") > 0.5, 1).otherwise(-1).alias("sign"), F.greatest("p_plus", 1 - F.col("p_plus")).alias("p"))
-    first = b.select("subject", F.col("object").alias("via"), F.col("sign").alias("sa"), F.col("p").alias("pa"))
-    second = b.select(F.col("subject").alias("via"), "object", F.col("sign").alias("sb"), F.col("p").alias("pb"))
-    chain = first.join(second, "via").filter("subject <> object").join(beliefs.select("subject", "object"), ["subject", "object"], "left_anti")
+    b = beliefs.filter("p_plus <> 0.5").select("subject", "object", F.when(F.col("p_plus") > 0.5, 1).otherwise(-1).alias("sign"), F.greatest("p_plus", 1 - F.col("p_plus")).alias("p")).filter(F.col("p") >= least / transitivity)
+    first = b.select("subject", F.col("object").alias("via"), F.col("sign").alias("sa"), F.col("p").alias("pa"), F.pmod(F.xxhash64("subject"), F.lit(slices)).cast("int").alias("s"))
+    second = b.select(F.col("subject").alias("via"), "object", F.col("sign").alias("sb"), F.col("p").alias("pb"), F.explode(F.array(*[F.lit(i) for i in range(slices)])).alias("s"))
+    chain = first.join(second, ["via", "s"]).filter("subject <> object").join(beliefs.select("subject", "object"), ["subject", "object"], "left_anti")
     return chain.select("subject", "via", "object", (F.col("sa") * F.col("sb")).alias("sign"), (F.lit(transitivity) * F.col("pa") * F.col("pb")).alias("p")).filter(F.col("p") >= least)
 
 

@@ -132,7 +132,11 @@ class Peeled:
                     for d, s in own.items():
                         if s + 1 < to.get(d, 1 << 30):
                             to[d] = s + 1
-        for n in self.residual:
+        yield from self.descendants_of(self.residual)
+
+    def descendants_of(self, seeds: set[str]) -> Iterator[tuple[str, dict[str, int]]]:
+        """The same for some nodes, each by widening rings."""
+        for n in sorted(seeds):
             own, ring, steps = {}, [n], 0
             while ring:
                 steps += 1
@@ -145,7 +149,7 @@ class Peeled:
                 ring = nxt
             yield n, own
 
-    # rows for the three outputs
+    # rows for the outputs
 
     def root_rows(self) -> Iterator[tuple]:
         loops = self.loops()
@@ -188,7 +192,7 @@ _SCHEMAS = {
 }
 
 
-def _in_tasks(links: DataFrame, what: str) -> DataFrame:
+def _in_tasks(links: DataFrame, what: str, seeded: bool = False) -> DataFrame:
     """Peels components task by task: each partition is ordered by component, and whole components are peeled as they come."""
     columns = [c.split()[0] for c in _SCHEMAS[what].split(", ")]
 
@@ -197,7 +201,12 @@ def _in_tasks(links: DataFrame, what: str) -> DataFrame:
             all_links = pd.concat(parts) if len(parts) > 1 else parts[0]
             rows: list[tuple] = []
             size = 0
-            for row in getattr(Peeled(all_links["child"].tolist(), all_links["parent"].tolist()), f"{what}_rows")():
+            held = Peeled(all_links["child"].tolist(), all_links["parent"].tolist())
+            if seeded:
+                made = ((n, d, k) for n, own in held.descendants_of(set(all_links["parent"][all_links["seed"]])) for d, k in own.items())
+            else:
+                made = getattr(held, f"{what}_rows")()
+            for row in made:
                 rows.append(row)
                 size += 1 + (len(row[4] or ()) if what == "node" else 0)  # paths count with their length
                 if size >= 20_000:
@@ -223,7 +232,7 @@ def _in_tasks(links: DataFrame, what: str) -> DataFrame:
         if held:
             yield from solved(held)
 
-    ordered = links.repartition("component").sortWithinPartitions("component").select("component", "child", "parent")
+    ordered = links.repartition("component").sortWithinPartitions("component").select("component", "child", "parent", *(["seed"] if seeded else []))
     return ordered.mapInPandas(peel, _SCHEMAS[what])
 
 
@@ -300,6 +309,17 @@ class Hierarchy:
         out = _in_tasks(self.small, "descendant")
         return out.unionByName(self._descendants_by_joins()) if self.any_big else out
 
+    def descendants_of(self, seeds: DataFrame) -> DataFrame:
+        """(id, descendant, steps) of the seeds (id) only, so the pairs are bounded by what lies below them."""
+        wanted = seeds.select(F.col("id").cast("string").alias("parent")).filter("parent IS NOT NULL").distinct().withColumn("seed", F.lit(True))
+        marked = self.small.join(wanted, "parent", "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
+        out = _in_tasks(marked, "descendant", seeded=True)
+        if self.any_big:
+            first = self.large.join(wanted, "parent", "left_semi").select(F.col("parent").alias("id"), F.col("child").alias("descendant"), F.lit(1).alias("steps"))
+            step = lambda ring: self.large.join(ring.withColumnRenamed("descendant", "parent"), "parent").groupBy("id", F.col("child").alias("descendant")).agg((F.min("steps") + 1).alias("steps"))
+            out = out.unionByName(self._grow(f"seeded-{self.scratch._n}", first, step, cycles=True))
+        return out
+
     # large components, by joins
 
     def _peel(self) -> DataFrame:

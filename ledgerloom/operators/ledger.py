@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..scratch import Scratch
 from .hierarchy import Hierarchy
 
 
@@ -34,12 +34,12 @@ def consistency(rows: DataFrame, time: str) -> DataFrame:
     """(issue, n): duplicate ids, self, forward and unresolved references, and lines whose time is before an earlier line's."""
     links = supersede_links(rows).filter("status <> 'ok'").groupBy(F.concat(F.col("status"), F.lit("_reference")).alias("issue")).agg(F.count(F.lit(1)).alias("n"))
     twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 AND id IS NOT NULL").agg(F.lit("duplicate_id").alias("issue"), F.count(F.lit(1)).alias("n"))
-    # a line goes back when a line before it has a later time; lines are compared to the greatest time before their block of lines, and within the block
-    block = rows.select("line", F.col(time).alias("t"), F.floor(F.col("line") / 10_000).alias("b")).filter("t IS NOT NULL")
-    top = block.groupBy("b").agg(F.max("t").alias("m"))
-    before = top.withColumn("m", F.max("m").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
-    inner = block.withColumn("w", F.max("t").over(Window.partitionBy("b").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)))
-    back = inner.join(broadcast_if_small(before), "b").filter(F.col("t") < F.greatest(F.coalesce("m", "w"), F.coalesce("w", "m"))).agg(F.lit("time_goes_back").alias("issue"), F.count(F.lit(1)).alias("n"))
+    # a line goes back when a line before it has a later time; lines are cut into ranges, and each is compared to the greatest time of the earlier ranges and of its own before it, so no task orders all
+    lines = Scratch(rows.sparkSession, "ledger").cut(rows.select("line", F.col(time).alias("t")).filter("t IS NOT NULL AND line IS NOT NULL").repartitionByRange("line").withColumn("p", F.spark_partition_id()))
+    top = lines.groupBy("p").agg(F.max("t").alias("m"))  # one row per range
+    before = top.select("p", F.max("m").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)).alias("m"))
+    inner = lines.withColumn("w", F.max("t").over(Window.partitionBy("p").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)))
+    back = inner.join(F.broadcast(before), "p").filter(F.col("t") < F.greatest(F.coalesce("m", "w"), F.coalesce("w", "m"))).agg(F.lit("time_goes_back").alias("issue"), F.count(F.lit(1)).alias("n"))
     return links.unionByName(twice).unionByName(back).filter("n > 0")
 
 
@@ -61,7 +61,8 @@ def readiness(nodes: DataFrame, deps: DataFrame, settled: list[str]) -> DataFram
 
 def priority(nodes: DataFrame, deps: DataFrame, goals: DataFrame, settled: list[str]) -> DataFrame:
     """(id, n_goals, value, priority): an open node is worth the weights of the goals (id, weight) that need it, directly or through others, or that it is; priority is that over its cost (nodes: id, status, cost; null or non-positive costs abstain)."""
-    reach = Hierarchy(deps.select(F.col("needs").alias("id"), F.col("id").alias("parent")), "id", "parent").descendants().select(F.col("id").alias("goal"), F.col("descendant").alias("id"))
+    # only the goals look down, so a chain with one goal gives as many pairs as it has nodes, not their square
+    reach = Hierarchy(deps.select(F.col("needs").alias("id"), F.col("id").alias("parent")), "id", "parent").descendants_of(goals.select("id")).select(F.col("id").alias("goal"), F.col("descendant").alias("id"))
     own = goals.select(F.col("id").alias("goal"), "id")
     hit = reach.unionByName(own).distinct().join(goals.select(F.col("id").alias("goal"), "weight"), "goal")
     value = hit.groupBy("id").agg(F.count(F.lit(1)).alias("n_goals"), F.sum("weight").alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .graph import triangles
 
 
 def closure(parts: DataFrame, given: DataFrame, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
@@ -53,9 +54,12 @@ def chains(ok_links: DataFrame, length: int = 3) -> DataFrame:
 
 
 def sign_cycles(relations: DataFrame) -> DataFrame:
-    """(a, b, c, product): triangles a->b->c with an asserted a->c of the opposite sign; relations (a, b, sign)."""
-    r = relations.filter("sign <> 0").select("a", "b", "sign").distinct()
-    two = r.join(r.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("sign").alias("s2")), "b")
-    closed = two.join(r.select("a", F.col("b").alias("c"), F.col("sign").alias("s3")), ["a", "c"]).filter("a <> b AND b <> c AND a <> c")
+    """(a, b, c, product): triangles a->b->c with an asserted a->c of the opposite sign; relations (a, b, sign). The triangles are found without regard to direction, each edge from its end of lower degree, so a hub does not square; then
+    each of their six readings is looked up."""
+    r = relations.filter("sign <> 0 AND a <> b").select("a", "b", "sign").distinct()
+    t = triangles(r.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    orders = [("a", "b", "c"), ("a", "c", "b"), ("b", "a", "c"), ("b", "c", "a"), ("c", "a", "b"), ("c", "b", "a")]
+    read = t.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.col(z).alias("c")) for x, y, z in orders])).alias("o")).select("o.*")
+    closed = read.join(r, ["a", "b"]).join(r.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("sign").alias("s2")), ["b", "c"]).join(r.select("a", F.col("b").alias("c"), F.col("sign").alias("s3")), ["a", "c"])
     product = F.col("sign") * F.col("s2") * F.col("s3")
     return closed.filter(product < 0).select("a", "b", "c", product.alias("product")).distinct()

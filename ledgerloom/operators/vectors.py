@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+from .hashing import adaptive_bits
+
 #: Query vectors that one task holds at a time.
 QUERY_BLOCK = 4096
 
@@ -28,6 +31,7 @@ def exact_nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col:
     n = queries.count()
     parts = max(1, -(-2 * n // block))
     schema = "query_id bigint, id bigint, score double"
+    scratch = Scratch(spark, "nearest")
     out = None
     for part in range(parts):
         rows = queries.filter(F.pmod(F.xxhash64(id_col), F.lit(parts)) == part).select(id_col, vec_col).toPandas()
@@ -65,6 +69,9 @@ def exact_nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col:
                     yield pd.DataFrame({"query_id": qid[i], "id": best[i][0], "score": best[i][1]})
 
         found = vectors.select(id_col, vec_col).mapInPandas(search, schema)
+        if parts > 1:  # one block at a time is on the driver and in the tasks
+            found = scratch.cut(found)
+            held.unpersist()
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], schema + ", place int")
@@ -89,12 +96,24 @@ def hyperplane_keys(vectors: DataFrame, id_col: str, vec_col: str, width: int, b
     return wide.select("id", "vec", F.posexplode("keys").alias("t", "key"))
 
 
-def index_nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, width: int, k: int, bits: int = 6, tables: int = 24, seed: int = 0) -> DataFrame:
-    """(query_id, id, score, place): as exact_nearest, among the vectors that share a bucket with the query in some table or differ from it in one bit there. Every vector is indexed; buckets have no cap."""
-    keyed = hyperplane_keys(vectors, id_col, vec_col, width, bits, tables, seed)
-    asked = keyed.join(queries.select(F.col(id_col).alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("vec").alias("q"), "t", F.explode(F.concat(F.array("key"), F.array(*[F.col("key").bitwiseXOR(F.lit(1 << b).cast("bigint")) for b in range(bits)]))).alias("key"))
-    met = asked.join(keyed, ["t", "key"]).filter("query_id <> id").groupBy("query_id", "id").agg(F.first("q").alias("q"), F.first("vec").alias("vec"))
+def index_nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, width: int, k: int, bits: int | None = None, tables: int = 24, seed: int = 0) -> DataFrame:
+    """(query_id, id, score, place): as exact_nearest, among the vectors that share a bucket with the query in some table or differ from it in one bit there. Every vector is indexed; buckets have no cap.
+
+    bits None: so many that a bucket holds about 64 vectors at any size of the table, so the work grows with the queries, not with the square of the table. Only ids meet in the buckets; the vectors are fetched once per pair.
+    """
+    bits = adaptive_bits(vectors.count(), 64) if bits is None else bits
+    keyed = hyperplane_keys(vectors, id_col, vec_col, width, bits, tables, seed).drop("vec")
+    asked = keyed.join(queries.select(F.col(id_col).alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), "t", F.explode(F.concat(F.array("key"), F.array(*[F.col("key").bitwiseXOR(F.lit(1 << b).cast("bigint")) for b in range(bits)]))).alias("key"))
+    pairs = asked.join(keyed, ["t", "key"]).filter("query_id <> id").select("query_id", "id").distinct()
+    own = vectors.filter(F.size(vec_col) == width).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    met = pairs.join(own, "id").join(own.select(F.col("id").alias("query_id"), F.col("vec").alias("q")), "query_id")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     score = F.try_divide(dot(F.col("q"), F.col("vec")), F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("vec"), F.col("vec"))))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return met.select("query_id", "id", score.alias("score")).filter("score IS NOT NULL AND NOT isnan(score)").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(n, n_found, recall): of the exact neighbours (query_id, id) how many an index found."""
+    hit = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hit.agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("n_found")).withColumn("recall", F.try_divide(F.col("n_found").cast("double"), F.col("n").cast("double")))

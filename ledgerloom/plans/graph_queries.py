@@ -97,7 +97,7 @@ def dedup_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return V.exact_nearest(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 5).select("query_id", F.round("score", 5).alias("score"), "place")
+    return V.exact_nearest(e, e.filter("vec_id % 20 = 0"), "vec_id", "embedding", 5).select("query_id", "id", F.round("score", 5).alias("score"), "place")
 
 
 def nearest_by_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,6 +143,6 @@ SELECT size, count(*) AS n_components FROM (SELECT g, count(*) AS size FROM lab
     "record_dedup": f"""WITH RECURSIVE {_KEYS}, sym AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links),
 lab(u, g) USING KEY (u) AS (SELECT a, least(a, min(b)) FROM sym GROUP BY a UNION SELECT s.a, min(l.g) FROM sym s JOIN lab l ON l.u = s.b JOIN recurring.lab o ON o.u = s.a GROUP BY s.a, o.g HAVING min(l.g) < o.g)
 SELECT uid, coalesce(g, uid) AS canonical FROM (SELECT DISTINCT uid FROM papers) LEFT JOIN lab ON u = uid""",
-    "nearest_vectors": """SELECT query_id, round(score, 5) AS score, CAST(place AS INT) AS place FROM (SELECT a.vec_id AS query_id, s AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) AS place
+    "nearest_vectors": """SELECT query_id, id, round(score, 5) AS score, CAST(place AS INT) AS place FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, s AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) AS place
 FROM (SELECT a, b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)) WHERE place <= 5""",
 }

@@ -101,6 +101,8 @@ _H = "(CASE WHEN {0} > 0 THEN -{0} * log2({0}) ELSE 0.0 END + CASE WHEN 1 - {0}
 ORACLE = {
     "ledger_links": f"WITH {_L} SELECT DISTINCT id, target, status FROM lk",
     "ledger_active": f"WITH {_L} SELECT id, bool_or(id NOT IN (SELECT target FROM lk WHERE status = 'ok')) AS active FROM led GROUP BY 1",
+    "ledger_consistency": f"""WITH {_LALL}, b AS (SELECT epoch_us(added_at) AS t, max(epoch_us(added_at)) OVER (ORDER BY epoch_us(added_at) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w FROM sources WHERE added_at IS NOT NULL)
+SELECT * FROM (SELECT status || '_reference' AS issue, count(*) AS n FROM lk WHERE status <> 'ok' GROUP BY 1 UNION ALL SELECT 'duplicate_id', count(*) FROM (SELECT id FROM led WHERE id IS NOT NULL GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'time_goes_back', count(*) FROM b WHERE t < w) WHERE n > 0""",
     "ledger_issues": f"WITH {_LALL} SELECT status, count(*) AS n FROM lk GROUP BY 1",
     "stale_claims": f"WITH {_L}, st AS (SELECT id, bool_or(id NOT IN (SELECT target FROM lk WHERE status = 'ok')) AS active FROM led GROUP BY 1), c AS (SELECT DISTINCT graph_id || ':' || id AS consumer, trim(e) AS id FROM (SELECT graph_id, id, unnest(evidence) AS e FROM claims)), m AS (SELECT * FROM c JOIN st USING (id)) SELECT consumer, id, NOT any_ AS all_dead FROM m JOIN (SELECT consumer, bool_or(active) AS any_ FROM m GROUP BY 1) USING (consumer) WHERE NOT active",
     "unlock_ready": f"WITH {_O} SELECT CAST(a.id AS VARCHAR) AS id, a.status, CAST(CASE WHEN a.needs IS NOT NULL AND b.status <> 'F' THEN 1 ELSE 0 END AS BIGINT) AS n_unmet, CAST(0 AS BIGINT) AS n_missing, a.needs IS NULL OR b.status = 'F' AS ready FROM o a LEFT JOIN o b ON b.id = a.needs WHERE a.status <> 'F'",

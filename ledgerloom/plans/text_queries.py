@@ -47,7 +47,7 @@ def _weights(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_top_terms(spark: SparkSession, sf: str) -> DataFrame:
     top = R.top_terms(_weights(spark, sf), 3)
-    return top.select(F.col("id").alias("doc_id"), F.round("weight", 5).alias("weight"), "place")
+    return top.select(F.col("id").alias("doc_id"), "term", F.round("weight", 5).alias("weight"), "place")
 
 
 def _posts(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,7 +129,7 @@ SELECT gram, count(*) AS n FROM (SELECT substr(s, unnest(range(1, greatest(lengt
     "normal_records": f"""SELECT id, r.uid AS uid, {_WS.format('r.title')} AS title, {_WS.format('r.abstract')} AS abstract, CAST(coalesce(len(r.authors), 0) AS INT) AS n_authors, CAST(coalesce(r.year, year(r.published)) AS INT) AS year, {_WS.format('r.venue')} AS venue
 FROM (SELECT id, arg_min({{'uid': uid, 'title': title, 'abstract': abstract, 'authors': authors, 'year': year, 'published': published, 'venue': venue}}, {{'a': retrieved_at, 'b': uid}}) AS r FROM papers GROUP BY id)""",
     "df_idf": f"SELECT term, count(*) AS df, round(ln((1.0 + n) / (1.0 + count(*))) + 1, 6) AS idf FROM (SELECT doc_id, unnest(list_distinct({_TOK.format('text', 2)})) AS term FROM documents), (SELECT count(*) AS n FROM documents) GROUP BY term, n",
-    "doc_top_terms": f"WITH {_TFIDF} SELECT doc_id, round(weight, 5) AS weight, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS INT) AS place FROM weights) WHERE place <= 3",
+    "doc_top_terms": f"WITH {_TFIDF} SELECT doc_id, term, round(weight, 5) AS weight, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS INT) AS place FROM weights) WHERE place <= 3",
     "bm25_topk": f"WITH {_POSTS} {_TOP.format('bm')}",
     "grep_topk": f"WITH {_POSTS} {_TOP.format('gr')}",
     "tfidf_topk": f"WITH {_TFIDF}, sc AS (SELECT doc_id, sum(weight) / sqrt({len(R.query_terms(QUERY))}) AS score FROM weights WHERE term IN (SELECT unnest({_WORDS})) GROUP BY 1) SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS place FROM sc WHERE score > 0 ORDER BY place LIMIT 20",
