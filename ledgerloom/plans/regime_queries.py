@@ -55,7 +55,9 @@ def numeric_units(spark: SparkSession, sf: str) -> DataFrame:
 
 def asserted_signs(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    return d.select("doc_id", X.asserted_sign(F.col("text"), "claim that", "rests").alias("sign")).filter("sign <> 0")
+    part = lambda k: F.regexp_extract("text", r"claim that ([a-z ]+?) drives ([a-z ]+?) rests", k)
+    named = d.filter(F.col("text").isNotNull()).select("doc_id", "text", part(1).alias("x"), part(2).alias("y")).filter("x <> '' AND x <> y")
+    return named.select("doc_id", "x", "y", X.asserted_sign(F.col("text"), F.col("x"), F.col("y")).alias("sign")).filter("sign <> 0")
 
 
 def provenance_statements(spark: SparkSession, sf: str) -> DataFrame:
