@@ -16,7 +16,7 @@ LOOP, BELOW_LOOP = "(loop)", "(below loop)"
 
 #: Components of up to so many links are peeled whole inside one task; larger ones are peeled by joins, level by level.
 TASK_LINKS = 50_000
-#: Nor is a component peeled in one task with more than so many pairs of a node and a root of it.
+#: Pairs of a node and a root that a task holds at once; the roots of a component are taken in groups of so many.
 TASK_CELLS = 2_000_000
 
 
@@ -91,13 +91,18 @@ class Peeled:
                     work.append(c)
         return seen - above
 
-    def depths(self) -> dict[str, dict[str, tuple[int, str | None]]]:
-        """node -> root -> (fewest steps, parent on that way): the residual by widening rings, then the peeled nodes in reverse peel order."""
-        got: dict[str, dict[str, tuple[int, str | None]]] = {n: {} for n in self.nodes}
-        for n in self.nodes:
-            if not self.up.get(n):
-                got[n][n] = (0, None)
-        ring = {(n, n) for n in self.residual if not self.up.get(n)}
+    def depths(self, cells: int = TASK_CELLS) -> Iterator[dict[str, dict[str, tuple[int, str | None]]]]:
+        """node -> root -> (fewest steps, parent on that way), for some of the roots at a time: the residual by widening rings, then the peeled nodes in reverse peel order."""
+        tops = sorted(n for n in self.nodes if not self.up.get(n))
+        size = max(1, cells // max(1, len(self.nodes)))
+        for at in range(0, len(tops), size):
+            yield self._depths_from(tops[at : at + size])
+
+    def _depths_from(self, tops: list[str]) -> dict[str, dict[str, tuple[int, str | None]]]:
+        got: dict[str, dict[str, tuple[int, str | None]]] = defaultdict(dict)
+        for n in tops:
+            got[n][n] = (0, None)
+        ring = {(n, n) for n in tops if n in self.residual}
         steps = 0
         while ring:
             steps += 1
@@ -111,9 +116,12 @@ class Peeled:
             ring = set(reach)
         for level in reversed(self.levels):
             for n in level:
-                mine = got[n]
                 for p in self.up.get(n, ()):
-                    for root, (d, _) in got[p].items():
+                    above = got.get(p)
+                    if not above:
+                        continue
+                    mine = got[n]
+                    for root, (d, _) in above.items():
                         if root not in mine or (d + 1, p) < mine[root]:
                             mine[root] = (d + 1, p)
         return got
@@ -152,32 +160,45 @@ class Peeled:
     # rows for the outputs
 
     def root_rows(self) -> Iterator[tuple]:
+        for some in self.depths():
+            for n, roots in some.items():
+                if self.up.get(n):  # a root's own row does not come from links
+                    for root, (d, _) in roots.items():
+                        yield n, root, d
         loops = self.loops()
-        below = self.below(loops)
-        for n, roots in self.depths().items():
-            if not self.up.get(n):
-                continue  # a root's own row does not come from links
-            for root, (d, _) in roots.items():
-                yield n, root, d
-            if n in loops:
-                yield n, LOOP, -1
-            elif n in below:
-                yield n, BELOW_LOOP, -1
+        for n in loops:
+            yield n, LOOP, -1
+        for n in self.below(loops):
+            yield n, BELOW_LOOP, -1
 
     def node_rows(self) -> Iterator[tuple]:
-        loops, depths = self.loops(), self.depths()
+        loops = self.loops()
         below = self.below(loops)
-        for n, own in self.descendants():
-            roots = depths[n]
-            best = min(((d, root) for root, (d, _) in roots.items()), default=None)
-            path = None
-            if best:
-                path, at = [n], n
-                while at != best[1]:
-                    at = depths[at][best[1]][1]
-                    path.append(at)
-                path.reverse()
-            yield n, self.level.get(n), best[1] if best else None, best[0] if best else None, path, len(roots), len(own), n in loops, n in below
+        best: dict[str, tuple[int, str]] = {}
+        n_roots: dict[str, int] = defaultdict(int)
+        for some in self.depths():
+            for n, roots in some.items():
+                n_roots[n] += len(roots)
+                for root, (d, _) in roots.items():
+                    if n not in best or (d, root) < best[n]:
+                        best[n] = (d, root)
+        n_down = {n: len(own) for n, own in self.descendants()}
+        flags = lambda n: (n_down.get(n, 0), n in loops, n in below)
+        of_root: dict[str, list[str]] = defaultdict(list)
+        for n, (_, root) in best.items():
+            of_root[root].append(n)
+        for some in self.depths():  # again, for the paths from the nearest roots
+            for root in [r for r in of_root if r in some and r in some[r]]:
+                for n in of_root[root]:
+                    path, at = [n], n
+                    while at != root:
+                        at = some[at][root][1]
+                        path.append(at)
+                    down, loop, under = flags(n)
+                    yield n, self.level.get(n), root, best[n][0], path[::-1], n_roots[n], down, loop, under
+        for n in self.nodes - best.keys():
+            down, loop, under = flags(n)
+            yield n, self.level.get(n), None, None, None, 0, down, loop, under
 
     def descendant_rows(self) -> Iterator[tuple]:
         for n, own in self.descendants():
@@ -245,11 +266,11 @@ class Hierarchy:
 
     Leaves (nodes without children left) are peeled round by round and send their descendant lists to their parents; in reverse
     peel order depths, roots and paths go down again; what cannot be peeled has a loop below it. A connected component of at most
-    `task_links` links and `task_cells` pairs of a node and a root is peeled whole inside one task; a larger one by joins with a written table per round, so no task holds more
+    `task_links` links is peeled whole inside one task, for groups of its roots one after another; a larger one by joins with a written table per round, so no task holds more
     than that. Both ways give the same rows: of ways to a root the shortest counts, and of those of one length that over the smallest parent.
     """
 
-    def __init__(self, rows: DataFrame, id_col: str, parents_col: str, task_links: int = TASK_LINKS, task_cells: int = TASK_CELLS):
+    def __init__(self, rows: DataFrame, id_col: str, parents_col: str, task_links: int = TASK_LINKS):
         self.spark = rows.sparkSession
         self.scratch = Scratch(self.spark, "hierarchy")
         parents = F.col(parents_col)
@@ -262,11 +283,7 @@ class Hierarchy:
         # a component that is a single node with a link to itself has no edge, and is its own component
         tied = self.links.join(parts.withColumnRenamed("id", "child"), "child", "left").withColumn("component", F.coalesce("component", "child"))
         tied = self.scratch.cut(tied)
-        # a component has no more roots than links, so only those of many links can have too many pairs
-        wide = self.scratch.cut(tied.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > task_links) | (F.col("n") * (F.col("n") + 1) > task_cells)))
-        tops = tied.join(wide.select("component"), "component", "left_semi").select("component", F.col("parent").alias("id")).distinct().join(tied.select(F.col("child").alias("id")), "id", "left_anti").groupBy("component").agg(F.count(F.lit(1)).alias("roots"))
-        over = wide.join(tops, "component", "left").filter((F.col("n") > task_links) | ((F.col("n") + 1) * F.col("roots") > task_cells)).select("component")
-        big = self.scratch.cut(over) if not wide.isEmpty() else wide.select("component")
+        big = self.scratch.cut(tied.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_links).select("component"))
         self.any_big = not big.isEmpty()
         self.small = tied.join(big, "component", "left_anti") if self.any_big else tied
         self.large = self.scratch.cut(tied.join(big, "component", "left_semi").select("child", "parent")) if self.any_big else None

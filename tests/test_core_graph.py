@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.components import connected_components
-from ledgerloom.operators.hierarchy import Hierarchy
+from ledgerloom.operators.hierarchy import Hierarchy, Peeled
 from ledgerloom.operators.references import orphan_references
 from ledgerloom.operators.skew import join_hot
 
@@ -105,8 +105,12 @@ def test_both_ways_give_the_same_nodes(spark):
     ids = [f"t{k * 37 % 60:02}" for k in range(60)]
     named = [(i, rng.sample(ids[:k], min(k, rng.choice([0, 1, 2, 3])))) for k, i in enumerate(ids)] + [("r", None), ("a", ["r"]), ("z", ["r"]), ("p1", ["z"]), ("p2", ["a"]), ("n", ["p1", "p2"]), ("o1", ["o2"]), ("o2", ["o1", "t05"])]
     df = spark.createDataFrame(named, "id string, parents array<string>")
-    every = [rows(Hierarchy(df, "id", "parents", **how).nodes()) for how in ({}, {"task_links": 0}, {"task_cells": 3})]
-    assert every[0] == every[1] == every[2]
+    every = [rows(Hierarchy(df, "id", "parents", **how).nodes()) for how in ({}, {"task_links": 0})]
+    assert every[0] == every[1]
+    links = [(i, p) for i, ps in named for p in ps or []]
+    held = Peeled([i for i, _ in links], [p for _, p in links])
+    whole = {(n, r): x for some in held.depths() for n, rs in some.items() for r, x in rs.items()}
+    assert whole == {(n, r): x for some in held.depths(cells=1) for n, rs in some.items() for r, x in rs.items()} and len(list(held.depths(cells=1))) > 1
     assert next(r for r in every[0] if r[0] == "n")[4] == ("r", "z", "p1", "n")
 
 
