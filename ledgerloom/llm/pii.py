@@ -42,6 +42,7 @@ class NameFilter:
             self.bits[cell] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
 
     @staticmethod
+    @lru_cache(maxsize=200_000)
     def places(word: str) -> tuple[int, int]:
         digest = hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()
         return int(digest[:6], 16), int(digest[6:12], 16)
@@ -388,19 +389,20 @@ class Field:
         steps, n = places.shape
         p, move, back = local[places], self.step.astype(local.dtype), np.ascontiguousarray(self.step.T).astype(local.dtype)
         forward, backward = np.empty((steps, n, N_LABELS), local.dtype), np.ones((steps, n, N_LABELS), local.dtype)
+        whole = int(mask.all(1).sum())  # the steps that every chain has
         f = p[0] * np.where(first[:, None], _START[None], True)
         f /= f.sum(1, keepdims=True)
         forward[0] = f
         for t in range(1, steps):
             g = (f @ move) * p[t]
             g /= g.sum(1, keepdims=True)
-            f = np.where(mask[t][:, None], g, f)
+            f = g if t < whole else np.where(mask[t][:, None], g, f)
             forward[t] = f
         b = backward[-1]
         for t in range(steps - 2, -1, -1):
             g = (b * p[t + 1]) @ back
             g /= g.sum(1, keepdims=True)
-            b = np.where(mask[t + 1][:, None], g, 1)
+            b = g if t + 1 < whole else np.where(mask[t + 1][:, None], g, 1)
             backward[t] = b
         return p, forward, backward
 
@@ -429,6 +431,8 @@ class Field:
         index = np.cumsum(pick) - 1
         mine, cavity = base[pick], sent
         within = mine
+        order = np.argsort(index[others], kind="stable")
+        told, edges = np.unique(index[others][order], return_index=True)
         for _ in range(rounds):
             belief = self.beliefs(within, rows[linked])
             cavity = belief[index[ends]] / sent[twin]
@@ -436,10 +440,10 @@ class Field:
             message = np.einsum("il,ilm->im", cavity, psi)
             message /= message.max(1, keepdims=True)
             sent = np.sqrt(sent * message)  # half a step, so that loops settle
-            gathered = np.zeros(mine.shape, np.float64)
-            np.add.at(gathered, index[others], np.log(sent))
-            within = mine * np.exp(gathered - gathered.max(1, keepdims=True)).astype(base.dtype)
-            within = np.maximum(within / within.max(1, keepdims=True), np.float32(1e-26))
+            gathered = np.add.reduceat(np.log(sent[order]), edges, axis=0)
+            changed = mine[told] * np.exp(gathered - gathered.max(1, keepdims=True)).astype(base.dtype)
+            within = mine.copy()
+            within[told] = np.maximum(changed / changed.max(1, keepdims=True), np.float32(1e-26))
         local = base.copy()
         local[pick] = within
         return local, sent, cavity
@@ -458,14 +462,24 @@ class Field:
     def _best(self, score: np.ndarray, rows: np.ndarray) -> np.ndarray:
         out = np.zeros(len(score), np.int64)
         moves = np.where(_ALLOWED, self.moves, -1e9).astype(np.float32)
+        # a mention is only continued by its own type, so two ways lead to such a label; all others come from anywhere
+        opens, goes_on, begins = np.flatnonzero(_START), np.flatnonzero(~_START), np.flatnonzero(~_START) - 1
+        into, from_begin, from_inside = np.ascontiguousarray(moves[:, opens].T), moves[begins, goes_on], moves[goes_on, goes_on]
         for places, mask, core, first in _padded(rows):
             steps, n = places.shape
+            whole = int(mask.all(1).sum())
             best = score[places[0]] + np.where(first[:, None] & ~_START[None], np.float32(-1e9), np.float32(0))
             back = np.empty((steps, n, N_LABELS), np.int8)
+            new = np.empty((n, N_LABELS), np.float32)
             for t in range(1, steps):
-                paths = best[:, :, None] + moves[None]
-                back[t] = paths.argmax(1)
-                best = np.where(mask[t][:, None], np.take_along_axis(paths, back[t][:, None, :].astype(np.int64), 1)[:, 0] + score[places[t]], best)
+                paths = best[:, None, :] + into[None]
+                back[t][:, opens] = paths.argmax(2)
+                new[:, opens] = paths.max(2)
+                a, b = best[:, begins] + from_begin, best[:, goes_on] + from_inside
+                back[t][:, goes_on] = np.where(a >= b, begins, goes_on)
+                new[:, goes_on] = np.maximum(a, b)
+                got = new + score[places[t]]
+                best = got if t < whole else np.where(mask[t][:, None], got, best)
             last = best.argmax(1)
             for t in range(steps - 1, -1, -1):
                 live = core[t]
