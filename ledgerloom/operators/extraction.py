@@ -42,7 +42,7 @@ _BRACKET = re.compile(rf"(?P<v>{_N})\s*[\[(]\s*(?P<lo>{_N})\s*(?:to|,|–)\s*(?P
 _RANGE = re.compile(rf"(?:in the range|ranging|range of|between)\s+(?:from\s+)?(?P<lo>\d+(?:\.\d+)?)\s*(?:-|–|to|and)\s*(?P<hi>\d+(?:\.\d+)?)")
 _UNIT = re.compile(r"(?:\s|~|\$|\\,|\}|\))*(?:\\(?:mathrm|rm|text)\s*\{?\s*)?(?P<u>%|percent\b|\\?[A-Za-zµ]+(?:/c\^?\{?2?\}?)?)")
 _RATIO = re.compile(r"\b(?:(?:odds|hazard|risk|rate|relative)\s+(?:ratio|risk)|relative\s+risk|OR|HR|RR)\b")
-_LINK = re.compile(r"(?:[\s$({:=,;~]|\b(?:is|was|are|were|of|be|to|at|found|measured|estimated|reported|lies|equals|with|about|a|an|the|for|in|obtained|gave|gives|yields?)\b)+$", re.I)
+_LINK = re.compile(r"(?:[\s$({:=,;~]|\b(?:is|was|are|were|of|be|to|at|found|measured|estimated|reported|lies|equals|with|about|a|an|the|for|in|obtained|gave|gives|yields)\b)+$", re.I)
 _WORDS_OUT = {"the", "a", "an", "our", "this", "that", "measure", "measures", "measured", "we", "and", "combined", "in", "on", "by", "yields", "report", "reports", "reported", "was", "is", "were", "are", "less", "more", "than", "among"}
 _NO_UNIT = {"and", "in", "is", "was", "of", "for", "to", "with", "at", "the", "a", "an", "from", "by", "or", "are", "were", "on", "as", "over", "near", "after", "before", "but", "while", "when", "where", "which", "that", "this", "these", "it", "we", "here", "per", "ci", "gave", "lies", "excluded", "among"}
 
