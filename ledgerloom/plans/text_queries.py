@@ -41,12 +41,12 @@ def df_idf(spark: SparkSession, sf: str) -> DataFrame:
     return df.join(F.broadcast(n)).select("term", "df", F.round(F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1, 6).alias("idf"))
 
 
-def _weights(spark: SparkSession, sf: str) -> DataFrame:
-    return R.tfidf(table(spark, sf, "documents"), "doc_id", R.bigram_terms(F.col("text")))
+def _weights(spark: SparkSession, sf: str) -> R.BigramWeights:
+    return R.BigramWeights(table(spark, sf, "documents"), "doc_id", "text")
 
 
 def doc_top_terms(spark: SparkSession, sf: str) -> DataFrame:
-    top = R.top_terms(_weights(spark, sf), 3)
+    top = _weights(spark, sf).top_terms(3)
     return top.select(F.col("id").alias("doc_id"), "term", F.round("weight", 5).alias("weight"), "place")
 
 
@@ -63,7 +63,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top_k(R.cosine_to_query(_weights(spark, sf), QUERY), 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "place")
+    return R.top_k(R.cosine_to_query(R.tfidf(table(spark, sf, "documents"), "doc_id", R.bigram_terms(F.col("text"))), QUERY), 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "place")
 
 
 def grep_topk(spark: SparkSession, sf: str) -> DataFrame:

@@ -373,3 +373,29 @@ def test_extraction(spark):
     assert ("derived", "SPRINT data") in {(r.kind, r.target) for r in extraction.provenance(df, "id", "text").collect()}
     sign = lambda s: one(spark, extraction.asserted_sign(F.lit(s), "heat", "creep"))
     assert [sign(s) for s in ("Heat drives creep.", "heat never raises creep", "heat lowers creep; heat raises creep", "Heat lowers creep. Heat raises creep.", "")] == [1, -1, 1, 0, 0]
+
+
+@pytest.mark.parametrize("looked_up", [3, 1000])
+def test_bigram_weights(spark, looked_up):
+    rng = random.Random(5)
+    rows = [(2**60 + rng.randrange(40), " ".join(rng.choice("copper Foam gap-7 x lens 12,5 \u0130on".split()) for _ in range(rng.randrange(9)))) for _ in range(60)] + [(7, None), (8, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    w = retrieval.tfidf(df, "id", retrieval.bigram_terms(F.col("text")))
+    mine = retrieval.BigramWeights(df, "id", "text", looked_up=looked_up)
+    assert (mine.scans > 1) == (looked_up == 3)
+    get = lambda x: sorted((r.id, r.place, r.term, round(r.weight, 9)) for r in x.collect())
+    assert get(mine.top_terms(3)) == get(retrieval.top_terms(w, 3))
+    score = lambda x: {r.id: pytest.approx(r.score) for r in x.collect()}
+    assert score(mine.cosine_to_query("copper gap zinc")) == score(retrieval.cosine_to_query(w, "copper gap zinc"))
+    # rows without an id are one document, as in the SQL; no other id loses digits by them
+    null = retrieval.BigramWeights(df.union(spark.createDataFrame([(None, "copper foam"), (None, "gap")], df.schema)), "id", "text", looked_up=looked_up).top_terms(3)
+    assert {r.id for r in null.collect()} - {r.id for r in w.collect()} == {None}
+    assert mine.cosine_to_query("zinc").count() == retrieval.BigramWeights(df.limit(0), "id", "text").top_terms().count() == 0
+
+
+def test_bigram_queries_shuffle_no_terms(spark):
+    from ledgerloom.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    plan = registry.queries()["doc_top_terms"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
