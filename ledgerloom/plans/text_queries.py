@@ -63,7 +63,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top_k(R.cosine_to_query(R.tfidf(table(spark, sf, "documents"), "doc_id", R.bigram_terms(F.col("text"))), QUERY), 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "place")
+    return R.top_k(_weights(spark, sf).cosine_to_query(QUERY), 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "place")
 
 
 def grep_topk(spark: SparkSession, sf: str) -> DataFrame:

@@ -399,3 +399,4 @@ def test_bigram_queries_shuffle_no_terms(spark):
     sf = "/root/testdata/sf0.001"
     plan = registry.queries()["doc_top_terms"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+    assert "SortMergeJoin" not in registry.queries()["tfidf_topk"](spark, sf)._jdf.queryExecution().executedPlan().toString()
