@@ -144,3 +144,22 @@ def test_hashed_features_keep_their_state(spark):
 def test_dotted_paths(spark):
     df = spark.createDataFrame([('{"a": {"b": [1, {"c": "x"}]}}',), ("no",), (None,)], "j string")
     assert [r.v for r in df.select(at_path(F.col("j"), "a.b.1.c").alias("v")).collect()] == ["x", None, None]
+
+
+def test_cut_removes_shuffle_files(spark):
+    import time
+
+    from ledgerloom.scratch import Scratch
+
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = held()
+    df = Scratch(spark, "test").cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before
+    assert df.count() == 7
