@@ -146,6 +146,17 @@ def test_dotted_paths(spark):
     assert [r.v for r in df.select(at_path(F.col("j"), "a.b.1.c").alias("v")).collect()] == ["x", None, None]
 
 
+def test_similar_titles_hand_on_few_pairs(spark, monkeypatch):
+    written = []
+    cut = dedup.Scratch.cut
+    monkeypatch.setattr(dedup.Scratch, "cut", lambda self, df, *a: written.append(cut(self, df, *a)) or written[-1])
+    rows = [(f"u{i:03}", "rare scarce " + " ".join(f"w{i * 7 + k}" for k in range(7))) for i in range(60)] + [("v", "rare scarce " + " ".join(f"w{k}" for k in range(6)))]
+    got = [tuple(r) for r in dedup.similar_titles(spark.createDataFrame(rows, "uid string, title string"), "uid", "title").collect()]
+    assert got == [("u000", "v")]
+    # all 61 meet on their two common words if those are in the prefix; only what the signature lets through is written
+    assert [df.count() for df in written if df.columns == ["src", "dst"]][0] < 20
+
+
 def test_cut_removes_shuffle_files(spark):
     import time
 
