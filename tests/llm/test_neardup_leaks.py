@@ -1,3 +1,4 @@
+import itertools
 import random
 from fractions import Fraction
 
@@ -132,3 +133,20 @@ def test_leaks_equal_brute_force(spark, shard_words, block_words):
     assert leaks.without_leaks(d, found).count() == sum(1 for k, _ in docs if k not in {a for a, _ in want})
     assert {r.item_id for r in leaks.leaked_items(found).collect()} == {b for _, b in want}
     assert leaks.find_leaks(d.limit(0), i).count() == leaks.find_leaks(d, i.limit(0)).count() == 0
+
+
+def test_rounds_leave_no_pair_out(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [[rng.choice("abcdefghijklmnop") + str(rng.randrange(3)) for _ in range(12)] for _ in range(12)]
+    rows = [(f"u{i:03}", [w for w in base[i % 12] if rng.random() > 0.08]) for i in range(120)]
+    df = spark.createDataFrame(rows, "uid string, tokens array<string>")
+    monkeypatch.setattr(neardup, "ROUND_CLASSES", 40)
+    monkeypatch.setattr(neardup, "ROUND_ROWS", 0)
+    monkeypatch.setattr(neardup, "ROUND_LEAST", 60)
+    found = neardup.NearDuplicates(df, Fraction(3, 4), block=4)
+    cut, made = found.scratch.cut, []
+    monkeypatch.setattr(found.scratch, "cut", lambda x, *a: made.append(x.columns) or cut(x, *a))
+    got = {tuple(r) for r in found.all_pairs().collect()}
+    want = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if 4 * len(set(x) & set(y)) >= 3 * len(set(x) | set(y)) and x and y}
+    assert got == want and len(want) > 100
+    assert made.count(["key", "m"]) > 1 and made.count(["cid_a", "cid_b"]) > made.count(["key", "m"]) + 1  # several rounds, and several turns in them
